@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from redactstream.schema import FINDINGS, HIT, MERGED
@@ -28,6 +28,28 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def once(value: Column) -> Column:
+    """Evaluate an expensive column once, however often and wherever it is used later.
+
+    Catalyst moves filters below projections and merges projections by repeating their
+    expressions; a chain of detection steps would run many times over. It leaves a column
+    that is not deterministic in its place. The condition always holds.
+    """
+    return F.when(F.spark_partition_id() >= 0, value)
+
+
+def stage(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add or replace columns that are all evaluated once, together.
+
+    One packed column also keeps the optimizer's reasoning about equal columns small,
+    which otherwise grows with every pair of columns along a chain of projections.
+    """
+    packed = F.struct(*[c.alias(n) for n, c in columns.items()])
+    kept = [c for c in df.columns if c not in columns]
+    out = df.withColumn("_stage", once(packed))
+    return out.select(*kept, *[F.col("_stage")[n].alias(n) for n in columns])
+
+
 def empty(kind: str) -> Column:
     return F.array().cast(kind)
 

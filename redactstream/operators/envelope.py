@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from redactstream.functions.identity import canonical_uuid, event_time, normalise_event_ts
 from redactstream.functions.identity import poison_id as poison_uuid
+from redactstream.functions.spans import once, stage
 from redactstream.schema import FAILURE_DETAIL_CHARS
 
 # Failure classes keep the names downstream reviewers filter on.
@@ -41,17 +42,14 @@ def parse_json_strict(text: Column) -> Column:
 def parse_envelope(raw: DataFrame) -> DataFrame:
     """Adds the four envelope members as variants; absent members are null."""
     text = F.col("value").cast("string")
-    decoded = raw.withColumn(
-        "_utf8", F.coalesce(F.is_valid_utf8(text), F.lit(False))
-    ).withColumn("_json", parse_json_strict(F.when(F.col("_utf8"), text)))
-    is_object = _kind(F.col("_json")).startswith("OBJECT")
+    utf8 = F.coalesce(F.is_valid_utf8(text), F.lit(False))
+    decoded = stage(raw, {"_utf8": utf8, "_json": parse_json_strict(F.when(utf8, text))})
+    is_object = F.coalesce(_kind(F.col("_json")).startswith("OBJECT"), F.lit(False))
     members = {
         f"_{k}": F.when(is_object, F.variant_get(F.col("_json"), f"$.{k}", "variant"))
         for k in _KEYS
     }
-    return decoded.withColumn("_is_object", F.coalesce(is_object, F.lit(False))).withColumns(
-        members
-    )
+    return stage(decoded, {"_is_object": is_object, **members})
 
 
 def classify_failure(parsed: DataFrame) -> DataFrame:
@@ -64,11 +62,12 @@ def classify_failure(parsed: DataFrame) -> DataFrame:
     ts_text = F.variant_get(F.col("_event_ts"), "$", "string")
     version_kind = _kind(F.col("_schema_version"))
     payload_kind = _kind(F.col("_payload"))
-    with_ids = parsed.withColumns(
+    with_ids = stage(
+        parsed,
         {
             "_uuid": F.when(is_text["message_id"], canonical_uuid(uuid_text)),
             "_ts": F.when(is_text["event_ts"], normalise_event_ts(ts_text)),
-        }
+        },
     )
     checks = [
         (F.col("value").isNull(), NULL_VALUE, "record has no value"),
@@ -95,10 +94,11 @@ def classify_failure(parsed: DataFrame) -> DataFrame:
             for bad, cls, text in checks
         ]
     )
-    return (
-        with_ids.withColumn("_failure", first)
-        .withColumn("failure_class", F.col("_failure.cls"))
-        .withColumn("failure_detail", F.left(F.col("_failure.detail"), F.lit(FAILURE_DETAIL_CHARS)))
+    return with_ids.withColumn("_failure", once(first)).withColumns(
+        {
+            "failure_class": F.col("_failure.cls"),
+            "failure_detail": F.left(F.col("_failure.detail"), F.lit(FAILURE_DETAIL_CHARS)),
+        }
     )
 
 
@@ -113,16 +113,26 @@ def envelopes(raw: DataFrame, processing_time: Column | None = None) -> DataFram
     now = F.current_timestamp() if processing_time is None else processing_time
     version = F.coalesce(F.try_variant_get(F.col("_schema_version"), "$", "int"), F.lit(1))
     poison = poison_uuid(F.col("topic"), F.col("partition"), F.col("offset"))
-    return checked.select(
+    built = stage(
+        checked,
+        {
+            "message_id": F.when(failed, poison).otherwise(F.col("_uuid")),
+            "event_ts_text": F.when(~failed, F.col("_ts")),
+            "event_ts": F.when(failed, now).otherwise(event_time(F.col("_ts"))),
+            "schema_version": F.when(failed, F.lit(1)).otherwise(version),
+            "payload": F.when(~failed, F.col("_payload")),
+        },
+    )
+    return built.select(
         "value",
         "topic",
         "partition",
         "offset",
-        F.when(failed, poison).otherwise(F.col("_uuid")).alias("message_id"),
-        F.when(failed, F.lit(None)).otherwise(F.col("_ts")).alias("event_ts_text"),
-        F.when(failed, now).otherwise(event_time(F.col("_ts"))).alias("event_ts"),
-        F.when(failed, F.lit(1)).otherwise(version).alias("schema_version"),
-        F.when(~failed, F.col("_payload")).alias("payload"),
+        "message_id",
+        "event_ts_text",
+        "event_ts",
+        "schema_version",
+        "payload",
         "failure_class",
         "failure_detail",
     )

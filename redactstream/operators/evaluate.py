@@ -609,7 +609,7 @@ def cases_from_templates(values: DataFrame, templates: Sequence[tuple[str, str]]
     )
     text = F.replace(F.col("f.template"), F.lit("{x}"), F.col(value))
     rows = values.withColumn("f", F.explode(frames)).withColumn("text", text)
-    start = F.locate(F.col(value), F.col("text")) - 1
+    start = F.position(F.col(value), F.col("text")) - 1
     return rows.select(
         *values.columns,
         "f.style",

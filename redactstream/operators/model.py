@@ -177,7 +177,7 @@ def detect_model(df: DataFrame, free: str, predictor: Predictor) -> DataFrame:
         )
         return df.withColumns(
             {
-                "model_findings": F.flatten(found),
+                "model_findings": spans.once(F.flatten(found)),
                 "model_error": F.lit(None).cast("string"),
                 "model_ms": F.lit(0.0),
             }
@@ -196,7 +196,7 @@ def detect_model(df: DataFrame, free: str, predictor: Predictor) -> DataFrame:
     )
     return out.withColumns(
         {
-            "model_findings": F.coalesce(F.flatten(found), spans.empty(FINDINGS)),
+            "model_findings": spans.once(F.coalesce(F.flatten(found), spans.empty(FINDINGS))),
             "model_error": F.col("_model.error"),
             "model_ms": F.col("_model.ms"),
         }
@@ -231,7 +231,6 @@ def dictionary_spans(df: DataFrame, key: str, text: str, names: DataFrame) -> Da
     execution broadcasts it only when its measured size allows. Frequent tokens that are
     no dictionary words leave before the join where the dictionary is broadcast.
     """
-    tokens = df.select(
-        key, F.explode(find_spans(F.col(text), r"[\p{L}]+")).alias("t")
-    ).select(key, F.col("t.m").alias("word"), F.col("t.s").alias("s"), F.col("t.e").alias("e"))
+    words = df.select(key, spans.once(find_spans(F.col(text), r"\p{L}+")).alias("t"))
+    tokens = words.select(key, F.explode("t").alias("t")).select(key, F.col("t.m").alias("word"), F.col("t.s").alias("s"), F.col("t.e").alias("e"))
     return tokens.join(names, "word").select(key, "entity_type", "s", "e", "score", "word")

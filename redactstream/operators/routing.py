@@ -137,14 +137,16 @@ def dispatch_fields(
     """
     policy = policy or Policy()
     out = df.withColumn(
-        "fields", rule_fields(payload_entries(F.col("payload")), policy, extra_detectors)
+        "fields", spans.once(rule_fields(payload_entries(F.col("payload")), policy, extra_detectors))
     )
     if predictor is not None:
-        out = out.withColumn("_free", free_text_prefilter(F.col("fields"), policy))
+        out = out.withColumn("_free", spans.once(free_text_prefilter(F.col("fields"), policy)))
         out = detect_model(out, "_free", predictor)
-        out = out.withColumn("fields", add_model_findings(F.col("fields"), F.col("model_findings")))
+        out = out.withColumn(
+            "fields", spans.once(add_model_findings(F.col("fields"), F.col("model_findings")))
+        )
     found = F.flatten(F.transform(F.col("fields"), lambda m: m["findings"]))
-    return out.withColumn("findings", F.coalesce(found, spans.empty(FINDINGS)))
+    return out.withColumn("findings", spans.once(F.coalesce(found, spans.empty(FINDINGS))))
 
 
 def reencode_envelope(df: DataFrame) -> DataFrame:
@@ -198,11 +200,16 @@ def decide(
             "failure_class": F.col("model_error"),
             "failure_detail": F.lit("the model stage failed on this record"),
         }
-        out = out.withColumns(
-            {c: F.when(broke, v).otherwise(F.col(c)) for c, v in failed.items()}
+        out = spans.stage(
+            out, {c: F.when(broke, v).otherwise(F.col(c)) for c, v in failed.items()}
         )
-    out = out.withColumn("action", route_action(F.col("findings"), F.col("failure_class")))
-    out = out.withColumn("max_tier", max_tier(F.col("findings")))
+    out = spans.stage(
+        out,
+        {
+            "action": route_action(F.col("findings"), F.col("failure_class")),
+            "max_tier": max_tier(F.col("findings")),
+        },
+    )
     return reencode_envelope(out).select(*OUTCOME_COLUMNS)
 
 

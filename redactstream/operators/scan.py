@@ -38,7 +38,7 @@ def scan(
             "_text", spans.clip(F.col("_text"), max_chars)
         )
     out = out.withColumn(
-        "findings", detect_rules(F.col("_text"), F.lit(field), extra_detectors)
+        "findings", spans.once(detect_rules(F.col("_text"), F.lit(field), extra_detectors))
     )
     if predictor is not None:
         part = F.struct(
@@ -46,12 +46,12 @@ def scan(
             spans.shield(F.col("_text"), F.col("findings")).alias("text"),
         )
         worth = F.col("_text").rlike(rf"[^{spans.SPACE}]")
-        out = out.withColumn("_free", F.when(worth, F.array(part)))
+        out = out.withColumn("_free", spans.once(F.when(worth, F.array(part))))
         out = detect_model(out, "_free", predictor)
         out = out.withColumn("findings", spans.combine(F.col("findings"), F.col("model_findings")))
     kept = spans.by_position(spans.keep_types(F.col("findings"), entity_types))
-    out = out.withColumn("findings", kept)
-    out = out.withColumn("merged", spans.merge_spans(F.col("findings")))
+    out = out.withColumn("findings", spans.once(kept))
+    out = out.withColumn("merged", spans.once(spans.merge_spans(F.col("findings"))))
     out = out.withColumns(
         {
             "redacted": spans.redact_merged(F.col("_text"), F.col("merged")),

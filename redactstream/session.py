@@ -33,6 +33,7 @@ def local_session(cores: str = "*", app: str = "redactstream", **extra: str) ->
         **REQUIRED,
         "spark.sql.shuffle.partitions": "8",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "8g",
         "spark.checkpoint.dir": tempfile.mkdtemp(prefix="spark-", dir="/tmp"),
         **extra,

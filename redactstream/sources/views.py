@@ -61,7 +61,7 @@ TXN_TEXT_FIELDS = (
 # carries no personal data; one in 97 is broken, each in one of fourteen ways.
 BROKEN_KINDS = 14
 RAW_SQL = """
-SELECT 'txn.raw' AS topic, cast(k % 3 AS int) AS "partition", k AS "offset", k,
+SELECT CASE WHEN k % 4 = 3 THEN 'txn.backfill' ELSE 'txn.raw' END AS topic, cast(k % 3 AS int) AS "partition", k AS "offset", k,
   CASE WHEN k % 97 <> 0 THEN concat('{"message_id": ', mid, ', "event_ts": ', ets, ', "schema_version": 1, "payload": ', payload, '}')
     WHEN b = 0 THEN NULL
     WHEN b = 1 THEN ''
@@ -98,11 +98,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core work when a scan yields fewer splits than there are cores.
+
+    Detection is bound by CPU, not by reading; a small file with one row group would run
+    in one task. Large inputs have more splits than cores and are left alone.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
+
+
 def txn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One bank transaction per order. A projection: no shuffle, only orders is read."""
-    return spark.sql(
-        TXN_SQL.replace("FROM orders o", "FROM {orders} o"), orders=table(spark, sf_dir, "orders")
-    )
+    """One bank transaction per order. A projection: only four columns are read."""
+    columns = ("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
+    orders = spread(table(spark, sf_dir, "orders").select(*columns))
+    return spark.sql(TXN_SQL.replace("FROM orders o", "FROM {orders} o"), orders=orders)
 
 
 def txn_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,13 +125,12 @@ def txn_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def raw_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The transactions as a broker delivers them: bytes with topic, partition, offset."""
-    sql = RAW_SQL.replace("FROM txn x", "FROM {txn} x").replace("k // 97", "k div 97")
-    sql = sql.replace('"partition"', "`partition`").replace('"offset"', "`offset`")
-    # JSON braces in the text are not parameters of the statement.
-    sql = sql.replace("{txn}", "txn_rows")
-    base = txn(spark, sf_dir)
-    base.createOrReplaceTempView("txn_rows")
-    out = spark.sql(sql)
-    return out.select(
-        F.encode("body", "UTF-8").alias("value"), "topic", "partition", "offset", "k"
+    txn(spark, sf_dir).createOrReplaceTempView("redactstream_txn")
+    sql = (
+        RAW_SQL.replace("FROM txn x", "FROM redactstream_txn x")
+        .replace("k // 97", "k div 97")
+        .replace('"partition"', "`partition`")
+        .replace('"offset"', "`offset`")
     )
+    body = F.encode("body", "UTF-8").alias("value")
+    return spark.sql(sql).select(body, "topic", "partition", "offset", "k")
