@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from redactstream.functions.spans import let
+
 # The RFC 4122 URL namespace and the accepted timestamp grammar
 # (date, then optionally any one separator, a time, a fraction of 3 or 6 digits, an offset).
 URL_NAMESPACE_HEX = "6ba7b8119dad11d180b400c04fd430c8"
+VARIANT_DIGITS = "89ab"
 _TIME = r"(?:[01]\d|2[0-3])(?::[0-5]\d(?::[0-5]\d(?:\.\d{3}(?:\d{3})?)?)?)?"
 _ZONE = r"(?:[+-](?:[01]\d|2[0-3]):[0-5]\d(?::[0-5]\d(?:\.\d{6})?)?)?"
 ISO_SHAPE = rf"(?s)\A\d{{4}}-\d{{2}}-\d{{2}}(?:.{_TIME}{_ZONE})?\z"
@@ -20,17 +23,22 @@ def hyphenate(hex32: Column) -> Column:
 
 def canonical_uuid(text: Column) -> Column:
     """Hyphenated lowercase form of any accepted spelling of a UUID, else null."""
-    bare = F.regexp_replace(text, "urn:|uuid:", "")
-    bare = F.regexp_replace(F.trim(bare, F.lit("{}")), "-", "")
-    return F.when(bare.rlike(r"\A[0-9a-fA-F]{32}\z"), hyphenate(F.lower(bare)))
+    bare = F.replace(F.replace(text, F.lit("urn:")), F.lit("uuid:"))
+    bare = F.lower(F.replace(F.trim(bare, F.lit("{}")), F.lit("-")))
+    return let(bare, lambda b: F.when(b.rlike(r"\A[0-9a-f]{32}\z"), hyphenate(b)))
 
 
 def normalise_event_ts(text: Column) -> Column:
     """A trailing Z becomes +00:00; anything that is not a valid ISO time is null."""
-    zoned = F.regexp_replace(text, r"Z\z", "+00:00")
-    day = F.substring(zoned, 1, 10)
-    valid = zoned.rlike(ISO_SHAPE) & day.try_cast("date").isNotNull() & (day >= "0001")
-    return F.when(valid, zoned)
+    zoned = F.when(
+        text.endswith("Z"), F.concat(F.left(text, F.length(text) - 1), F.lit("+00:00"))
+    ).otherwise(text)
+
+    def checked(t: Column) -> Column:
+        day = F.left(t, F.lit(10))
+        return F.when(t.rlike(ISO_SHAPE) & day.try_cast("date").isNotNull() & (day >= "0001"), t)
+
+    return let(zoned, checked)
 
 
 def event_time(normalised: Column) -> Column:
@@ -56,13 +64,15 @@ def poison_id(topic: Column, partition: Column, offset: Column) -> Column:
         offset.cast("string"),
     )
     digest = F.sha1(F.concat(F.unhex(F.lit(URL_NAMESPACE_HEX)), F.encode(name, "UTF-8")))
-    variant = F.substring(F.lit("89ab"), 1, 4)
-    nibble = F.conv(F.substring(digest, 17, 1), 16, 10).cast("int") % 4
-    hex32 = F.concat(
-        F.substring(digest, 1, 12),
-        F.lit("5"),
-        F.substring(digest, 14, 3),
-        F.substring(variant, nibble + 1, F.lit(1)),
-        F.substring(digest, 18, 15),
-    )
-    return hyphenate(hex32)
+
+    def versioned(h: Column) -> Column:
+        nibble = F.conv(F.substring(h, 17, 1), 16, 10).cast("int") % 4
+        return F.concat(
+            F.substring(h, 1, 12),
+            F.lit("5"),
+            F.substring(h, 14, 3),
+            F.substring(F.lit(VARIANT_DIGITS), nibble + 1, F.lit(1)),
+            F.substring(h, 18, 15),
+        )
+
+    return let(let(digest, versioned), hyphenate)

@@ -189,16 +189,19 @@ def merge_spans(found: Column) -> Column:
             ),
         )
 
-    rows = F.array_sort(
-        F.transform(
-            found,
-            lambda f: F.struct(
-                f["span_start"].alias("s"), f["span_end"].alias("e"), f["entity_type"].alias("t")
-            ),
+    def triple(f: Column, label: str) -> Column:
+        return F.struct(
+            f["span_start"].alias("s"), f["span_end"].alias("e"), f["entity_type"].alias(label)
         )
-    )
-    return let(
-        rows, lambda r: F.when(F.size(r) > 0, merge(r)).otherwise(empty(f"array<{MERGED}>"))
+
+    # Most values hold one finding or none; only more than one needs the fold.
+    return (
+        F.when(F.size(found) == 1, F.transform(found, lambda f: triple(f, "label")))
+        .when(
+            F.size(found) > 1,
+            let(F.array_sort(F.transform(found, lambda f: triple(f, "t"))), merge),
+        )
+        .otherwise(empty(f"array<{MERGED}>"))
     )
 
 

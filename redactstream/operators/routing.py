@@ -51,9 +51,8 @@ def finding_action(action: Column) -> Column:
 
 def payload_entries(payload: Column) -> Column:
     """Payload members as array<struct<key, value, text>>; text is null for non-strings."""
-    members = F.map_entries(F.try_variant_get(payload, "$", "map<string,variant>"))
     return F.transform(
-        members,
+        F.map_entries(payload),
         lambda m: F.struct(
             m["key"].alias("key"),
             m["value"].alias("value"),
