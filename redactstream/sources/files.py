@@ -11,11 +11,16 @@ SPAN_SCHEMA = "array<struct<start:int,end:int,text:string,label:string>>"
 OSM_SCHEMA = "elements array<struct<type:string,id:bigint,tags:map<string,string>>>"
 
 
-def _encoding(spark: SparkSession, path: str) -> str:
-    """UTF-8 unless some line is not; then the encoding of older spreadsheet exports."""
+# Spark reads ISO-8859-1, which leaves 0x80-0x9f as control characters; Windows-1252, the
+# encoding of older spreadsheet exports, has letters and signs there.
+_UPPER = bytes(range(0x80, 0xA0))
+_AS_LATIN = _UPPER.decode("iso-8859-1")
+_AS_WINDOWS = _UPPER.decode("cp1252", errors="replace")
+
+
+def _is_utf8(spark: SparkSession, path: str) -> bool:
     lines = spark.read.text(path)
-    bad = lines.where(~F.is_valid_utf8("value")).limit(1).count()
-    return "windows-1252" if bad else "UTF-8"
+    return lines.where(~F.is_valid_utf8("value")).limit(1).count() == 0
 
 
 def _strip_bom(name: str) -> str:
@@ -24,14 +29,21 @@ def _strip_bom(name: str) -> str:
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """A CSV with trimmed header names; a byte-order mark is tolerated."""
+    utf8 = _is_utf8(spark, path)
     df = (
         spark.read.option("header", True)
         .option("multiLine", True)
         .option("escape", '"')
-        .option("encoding", _encoding(spark, path))
+        .option("encoding", "UTF-8" if utf8 else "ISO-8859-1")
         .csv(path)
     )
-    return df.toDF(*[_strip_bom(c) for c in df.columns])
+    if utf8:
+        return df.toDF(*[_strip_bom(c) for c in df.columns])
+    names = [_strip_bom(c.translate(str.maketrans(_AS_LATIN, _AS_WINDOWS))) for c in df.columns]
+    plain = df.toDF(*[f"c{i}" for i in range(len(names))])
+    return plain.select(
+        *[F.translate(f"c{i}", _AS_LATIN, _AS_WINDOWS).alias(n) for i, n in enumerate(names)]
+    )
 
 
 def csv_columns(spark: SparkSession, path: str) -> list[str]:
@@ -78,10 +90,12 @@ def read_rows(spark: SparkSession, path: str, column: str | None = None) -> Data
             raise ValueError(f"no column {chosen!r}; the file has {', '.join(df.columns)}")
         text = F.col(f"`{chosen}`")
     else:
-        df = spark.read.option("encoding", _encoding(spark, path)).csv(
+        utf8 = _is_utf8(spark, path)
+        df = spark.read.option("encoding", "UTF-8" if utf8 else "ISO-8859-1").csv(
             path, schema="value string", sep="\x01", quote=""
         )
         text = F.regexp_replace("value", "\\A\ufeff", "")
+        text = text if utf8 else F.translate(text, _AS_LATIN, _AS_WINDOWS)
     clean = F.regexp_replace(text, r"(?U)\A\s+|\s+\z", "")
     return (
         df.select(F.monotonically_increasing_id().alias("row_id"), clean.alias("text"))
