@@ -12,7 +12,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from redactstream.schema import FINDINGS, HIT, MERGED
+from redactstream.schema import FINDING, FINDINGS, HIT, MERGED
 
 # Python's notion of space, digit and word character, spelled out because Java's
 # shorthand classes differ from it at the edges.
@@ -54,30 +54,106 @@ def empty(kind: str) -> Column:
     return F.array().cast(kind)
 
 
+# Long arrays are scanned in blocks, so a text with many thousand hits stays practical.
+BLOCK = 64
+
+
+def _prefix(values: Column, total: Callable[[Column], Column], plus) -> Column:
+    """Exclusive running totals of an array: totals of whole blocks, then inside a block."""
+
+    def scan(v: Column) -> Column:
+        blocks = F.sequence(F.lit(0), F.ceil(F.size(v) / BLOCK).cast("int") - 1)
+        sums = F.transform(blocks, lambda b: total(F.slice(v, b * BLOCK + 1, F.lit(BLOCK))))
+
+        def spread(t: Column) -> Column:
+            before = F.transform(t, lambda _, b: total(F.slice(t, F.lit(1), b)))
+
+            def each(p: Column) -> Column:
+                return F.transform(
+                    v,
+                    lambda _, i: plus(
+                        F.get(p, F.floor(i / BLOCK).cast("int")),
+                        total(F.slice(v, i - i % BLOCK + 1, i % BLOCK)),
+                    ),
+                )
+
+            return let(before, each)
+
+        return let(sums, spread)
+
+    return let(values, scan)
+
+
+def running_sum(values: Column) -> Column:
+    def total(v: Column) -> Column:
+        return F.aggregate(v, F.lit(0), lambda acc, x: acc + x)
+
+    return _prefix(values, total, lambda a, b: a + b)
+
+
+def running_max(values: Column) -> Column:
+    """Of non-negative integers; -1 before the first."""
+
+    def total(v: Column) -> Column:
+        return F.coalesce(F.array_max(v), F.lit(-1))
+
+    return _prefix(values, total, F.greatest)
+
+
+def segments(rows: Column, opens: Callable[[Column, Column], Column]) -> Column:
+    """Cut a sorted, non-empty array of spans (fields s, e) into consecutive groups.
+
+    `opens(row, reach)` says whether a row starts a new group, given the furthest end
+    among all rows before it.
+    """
+
+    def cut(r: Column) -> Column:
+        def heads(reach: Column) -> Column:
+            at = F.sequence(F.lit(0), F.size(r) - 1)
+            return F.filter(at, lambda i: (i == 0) | opens(F.get(r, i), F.get(reach, i)))
+
+        def groups(h: Column) -> Column:
+            return F.transform(
+                h,
+                lambda at, j: F.slice(r, at + 1, F.coalesce(F.get(h, j + 1), F.size(r)) - at),
+            )
+
+        return let(let(running_max(F.transform(r, lambda x: x["e"])), heads), groups)
+
+    return let(rows, cut)
+
+
 def find_spans(text: Column, pattern: str) -> Column:
     """All non-overlapping matches as array<struct<s,e,m>>.
 
     Spark has no function that returns match offsets. The pieces between matches
     (`split`) and the matches (`regexp_extract_all`) interleave to the whole text,
-    so a running sum of their lengths gives them. The second pass over the text only
+    so running sums of their lengths give them. The second pass over the text only
     happens for rows that have a match.
     """
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
-    def walk(found: Column) -> Column:
-        gaps = F.transform(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), F.length)
-        start = F.struct(F.lit(0).alias("at"), empty(f"array<{HIT}>").alias("out"))
+    def hit(s: Column, m: Column) -> Column:
+        return F.struct(s.alias("s"), (s + F.length(m)).alias("e"), m.alias("m"))
+
+    def single(found: Column, gaps: Column) -> Column:
+        return F.transform(found, lambda m: hit(F.get(gaps, F.lit(0)), m))
 
-        def step(acc: Column, x: Column) -> Column:
-            s = acc["at"] + x["gap"]
-            e = s + F.length(x["m"])
-            hit = F.struct(s.alias("s"), e.alias("e"), x["m"].alias("m"))
-            return F.struct(e.alias("at"), F.concat(acc["out"], F.array(hit)).alias("out"))
+    def many(found: Column, gaps: Column) -> Column:
+        steps = F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)), lambda m, g: F.length(m) + g)
+        return let(
+            running_sum(steps),
+            lambda at: F.transform(found, lambda m, i: hit(F.get(at, i) + F.get(gaps, i), m)),
+        )
 
-        pairs = F.zip_with(gaps, found, lambda g, m: F.struct(g.alias("gap"), m.alias("m")))
-        return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+    def place(found: Column) -> Column:
+        gaps = F.transform(F.split(text, pattern, -1), F.length)
+        return let(
+            gaps,
+            lambda g: F.when(F.size(found) == 1, single(found, g)).otherwise(many(found, g)),
+        )
 
-    return let(hits, lambda h: F.when(F.size(h) > 0, walk(h)).otherwise(empty(f"array<{HIT}>")))
+    return let(hits, lambda h: F.when(F.size(h) > 0, place(h)).otherwise(empty(f"array<{HIT}>")))
 
 
 def finding(entity: Column, field: Column, s: Column, e: Column, tier: int, conf: Column) -> Column:
@@ -94,16 +170,16 @@ def finding(entity: Column, field: Column, s: Column, e: Column, tier: int, conf
 def dedupe_longest(found: Column) -> Column:
     """Overlapping rule hits: the longest claims the text, earlier detectors win ties.
 
-    `found` lists hits detector by detector, so its index is the tie order. Only rows
-    with two hits or more pay for the sort.
+    `found` lists hits detector by detector, so its index is the tie order. The contest
+    is inside groups that overlap; a text with many hits compares no hit with all others.
     """
 
-    def resolve(hits: Column) -> Column:
+    def contest(group: Column) -> Column:
         ranked = F.array_sort(
             F.transform(
-                hits,
-                lambda h, i: F.struct(
-                    (h["span_start"] - h["span_end"]).alias("neg_len"), i.alias("i"), h.alias("h")
+                group,
+                lambda x: F.struct(
+                    (x["s"] - x["e"]).alias("neg_len"), x["i"].alias("i"), x["h"].alias("h")
                 ),
             )
         )
@@ -118,6 +194,22 @@ def dedupe_longest(found: Column) -> Column:
 
         return by_position(F.aggregate(ranked, empty(FINDINGS), claim), with_end=False)
 
+    def settle(group: Column) -> Column:
+        alone = F.transform(group, lambda x: x["h"])
+        return F.when(F.size(group) > 1, contest(group)).otherwise(alone)
+
+    def resolve(hits: Column) -> Column:
+        ordered = F.array_sort(
+            F.transform(
+                hits,
+                lambda h, i: F.struct(
+                    h["span_start"].alias("s"), i.alias("i"), h["span_end"].alias("e"), h.alias("h")
+                ),
+            )
+        )
+        groups = segments(ordered, lambda x, reach: x["s"] >= reach)
+        return F.flatten(F.transform(groups, settle))
+
     return let(found, lambda h: F.when(F.size(h) > 1, resolve(h)).otherwise(h))
 
 
@@ -148,71 +240,57 @@ def merge_spans(found: Column) -> Column:
 
     Touching spans stay apart. A merged label lists its distinct types joined by '+'.
     """
-    kinds = "array<string>"
-    open_type = f"array<struct<s:int,e:int,types:{kinds}>>"
-
-    def merge(rows: Column) -> Column:
-        first = F.struct(
-            rows[0]["s"].alias("s"), rows[0]["e"].alias("e"), F.array(rows[0]["t"]).alias("types")
-        )
-        start = F.struct(empty(open_type).alias("done"), first.alias("cur"))
-
-        def step(acc: Column, x: Column) -> Column:
-            cur = acc["cur"]
-            overlaps = x["s"] < cur["e"]
-            grown = F.struct(
-                cur["s"].alias("s"),
-                F.greatest(cur["e"], x["e"]).alias("e"),
-                F.array_union(cur["types"], F.array(x["t"])).alias("types"),
-            )
-            fresh = F.struct(
-                x["s"].alias("s"), x["e"].alias("e"), F.array(x["t"]).alias("types")
-            )
-            return F.struct(
-                F.when(overlaps, acc["done"])
-                .otherwise(F.concat(acc["done"], F.array(cur)))
-                .alias("done"),
-                F.when(overlaps, grown).otherwise(fresh).alias("cur"),
-            )
-
-        return F.aggregate(
-            F.slice(rows, F.lit(2), F.size(rows)),
-            start,
-            step,
-            lambda acc: F.transform(
-                F.concat(acc["done"], F.array(acc["cur"])),
-                lambda x: F.struct(
-                    x["s"].alias("s"),
-                    x["e"].alias("e"),
-                    F.array_join(F.array_sort(F.array_distinct(x["types"])), "+").alias("label"),
-                ),
-            ),
-        )
 
     def triple(f: Column, label: str) -> Column:
         return F.struct(
             f["span_start"].alias("s"), f["span_end"].alias("e"), f["entity_type"].alias(label)
         )
 
-    # Most values hold one finding or none; only more than one needs the fold.
+    def union(group: Column) -> Column:
+        kinds = F.array_sort(F.array_distinct(F.transform(group, lambda x: x["t"])))
+        return F.struct(
+            F.get(group, F.lit(0))["s"].alias("s"),
+            F.array_max(F.transform(group, lambda x: x["e"])).alias("e"),
+            F.array_join(kinds, "+").alias("label"),
+        )
+
+    ordered = F.array_sort(F.transform(found, lambda f: triple(f, "t")))
+    groups = segments(ordered, lambda x, reach: x["s"] >= reach)
+    # Most values hold one finding or none.
     return (
         F.when(F.size(found) == 1, F.transform(found, lambda f: triple(f, "label")))
-        .when(
-            F.size(found) > 1,
-            let(F.array_sort(F.transform(found, lambda f: triple(f, "t"))), merge),
-        )
+        .when(F.size(found) > 1, F.transform(groups, union))
         .otherwise(empty(f"array<{MERGED}>"))
     )
 
 
 def _rewrite(text: Column, merged: Column, fill: Callable[[Column], Column]) -> Column:
+    """The text with each merged span replaced, put together block by block of spans."""
+
     def stitched(m: Column) -> Column:
-        def piece(x: Column, i: Column) -> Column:
-            prev = F.when(i > 0, F.get(m, i - 1)["e"]).otherwise(F.lit(0))
-            return F.concat(F.substring(text, prev + 1, x["s"] - prev), fill(x))
+        def block(first: Column) -> Column:
+            group = F.slice(m, first + 1, F.lit(BLOCK))
+            begin = F.when(first > 0, F.get(m, first)["s"]).otherwise(F.lit(0))
+            end = F.coalesce(F.get(m, first + BLOCK)["s"], F.length(text))
+            parts = F.struct(
+                group.alias("spans"),
+                begin.alias("begin"),
+                F.substring(text, begin + 1, end - begin).alias("text"),
+            )
+            return let(parts, paste)
+
+        def paste(p: Column) -> Column:
+            def piece(x: Column, i: Column) -> Column:
+                prev = F.when(i > 0, F.get(p["spans"], i - 1)["e"]).otherwise(p["begin"])
+                kept = F.substring(p["text"], prev - p["begin"] + 1, x["s"] - prev)
+                return F.concat(kept, fill(x))
 
-        tail = F.substring(text, F.element_at(m, -1)["e"] + 1, F.length(text))
-        return F.concat(F.array_join(F.transform(m, piece), ""), tail)
+            last = F.element_at(p["spans"], -1)["e"] - p["begin"]
+            tail = F.substring(p["text"], last + 1, F.length(p["text"]))
+            return F.concat(F.array_join(F.transform(p["spans"], piece), ""), tail)
+
+        firsts = F.sequence(F.lit(0), F.size(m) - 1, F.lit(BLOCK))
+        return F.array_join(F.transform(firsts, block), "")
 
     return let(merged, lambda m: F.when(F.size(m) > 0, stitched(m)).otherwise(text))
 
@@ -233,41 +311,24 @@ def shield(text: Column, found: Column) -> Column:
 
 def bridge_spans(spans: Column, max_gap: int = 32) -> Column:
     """Join array<struct<s,e,score>> members whose gap is at most `max_gap`."""
-    kind = "array<struct<s:int,e:int,score:double>>"
 
     def pack(s: Column, e: Column, score: Column) -> Column:
-        return F.struct(s.alias("s"), e.alias("e"), score.alias("score"))
-
-    def join(rows: Column) -> Column:
-        start = F.struct(empty(kind).alias("done"), rows[0].alias("cur"))
-
-        def step(acc: Column, x: Column) -> Column:
-            cur = acc["cur"]
-            near = x["s"] - cur["e"] <= max_gap
-            grown = pack(
-                cur["s"], F.greatest(cur["e"], x["e"]), F.greatest(cur["score"], x["score"])
-            )
-            return F.struct(
-                F.when(near, acc["done"])
-                .otherwise(F.concat(acc["done"], F.array(cur)))
-                .alias("done"),
-                F.when(near, grown).otherwise(x).alias("cur"),
-            )
-
-        return F.aggregate(
-            F.slice(rows, F.lit(2), F.size(rows)),
-            start,
-            step,
-            lambda acc: F.concat(acc["done"], F.array(acc["cur"])),
+        return F.struct(
+            s.cast("int").alias("s"), e.cast("int").alias("e"), score.cast("double").alias("score")
         )
 
-    ordered = F.array_sort(
-        F.transform(
-            spans,
-            lambda x: pack(x["s"].cast("int"), x["e"].cast("int"), x["score"].cast("double")),
+    def join(group: Column) -> Column:
+        return pack(
+            F.get(group, F.lit(0))["s"],
+            F.array_max(F.transform(group, lambda x: x["e"])),
+            F.array_max(F.transform(group, lambda x: x["score"])),
         )
+
+    ordered = F.array_sort(F.transform(spans, lambda x: pack(x["s"], x["e"], x["score"])))
+    groups = segments(ordered, lambda x, reach: x["s"] - reach > max_gap)
+    return F.when(F.size(spans) > 0, F.transform(groups, join)).otherwise(
+        empty("array<struct<s:int,e:int,score:double>>")
     )
-    return let(ordered, lambda r: F.when(F.size(r) > 0, join(r)).otherwise(empty(kind)))
 
 
 def keep_types(found: Column, types: Sequence[str] | None) -> Column:

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from redactstream.functions import address as adr
 from redactstream.functions import checksums as chk
-from redactstream.plans.report import with_share
 
 # Shapes counted per locale and labels whose surfaces are sampled.
 SHAPES = {
@@ -73,20 +72,30 @@ def write_corpus(corpus: DataFrame, path: str) -> DataFrame:
 
 
 def corpus_composition(corpus: DataFrame, top_cities: int = 10) -> DataFrame:
-    """Counts and shares by city (top ten), form and kind, and the two flag shares."""
-    def part(dimension: str, df: DataFrame) -> DataFrame:
-        return with_share(df).select(
-            F.lit(dimension).alias("dimension"), F.col("value").cast("string"), "n", "share"
-        )
-
-    def count(c: str) -> DataFrame:
-        return corpus.groupBy(F.col(c).alias("value")).agg(F.count("*").alias("n"))
-
-    cities = part("city", count("city")).orderBy(F.desc("n"), "value").limit(top_cities)
-    out = cities
-    for c in ("form", "kind", "has_housenumber", "latin"):
-        out = out.unionByName(part(c, count(c)))
-    return out
+    """Counts and shares by city (top ten), form and kind, and the two flag shares.
+
+    One pass over the corpus: all dimensions are grouping sets of one aggregate.
+    """
+    dims = ["city", "form", "kind", "has_housenumber", "latin"]
+    marks = [F.grouping(d).alias(f"_g{i}") for i, d in enumerate(dims)]
+    grouped = corpus.groupingSets([[d] for d in dims], *dims).agg(F.count("*").alias("n"), *marks)
+
+    def of_set(value) -> Column:
+        return F.coalesce(*[F.when(F.col(f"_g{i}") == 0, value(d)) for i, d in enumerate(dims)])
+
+    rows = grouped.select(
+        of_set(F.lit).alias("dimension"),
+        of_set(lambda d: F.col(d).cast("string")).alias("value"),
+        "n",
+    )
+    same = Window.partitionBy("dimension")
+    rank = F.row_number().over(same.orderBy(F.desc("n"), "value"))
+    return (
+        rows.withColumn("share", F.try_divide(F.col("n"), F.sum("n").over(same)))
+        .withColumn("rank", rank)
+        .where((F.col("dimension") != "city") | (F.col("rank") <= top_cities))
+        .drop("rank")
+    )
 
 
 # --------------------------------------------------------------------------- #

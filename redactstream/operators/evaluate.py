@@ -45,8 +45,6 @@ def covered(
     longest = tagged.groupBy(*keys, "s").agg(
         *[F.max(F.when(F.col(n), F.col("e"))).alias(n) for n in flags]
     )
-    if text is not None:
-        longest = longest.join(text, keys)
     before = Window.partitionBy(*keys).orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
     out = longest
     for n in flags:
@@ -57,10 +55,21 @@ def covered(
         start, length = F.col(f"_from{n}"), F.greatest(F.lit(0), F.col(n) - F.col(f"_from{n}"))
         sums.append(F.coalesce(F.sum(length), F.lit(0)).alias(name))
         if text is not None:
-            piece = F.substring("text", start + 1, length)
-            ident = F.when(F.coalesce(length, F.lit(0)) > 0, identifying_chars(piece))
-            sums.append(F.coalesce(F.sum(ident), F.lit(0)).alias(f"{name}_ident"))
-    return out.groupBy(*keys).agg(*sums)
+            piece = F.when(length > 0, F.struct(start.alias("at"), length.alias("n")))
+            sums.append(F.collect_list(piece).alias(f"_pieces_{name}"))
+    total = out.groupBy(*keys).agg(*sums)
+    if text is None:
+        return total
+
+    # The text joins once per key, not once per span; its pieces are disjoint, so they are
+    # no longer than the text together.
+    def ident(name: str) -> Column:
+        cut = F.transform(
+            f"_pieces_{name}", lambda p: F.substring(F.col("text"), p["at"] + 1, p["n"])
+        )
+        return identifying_chars(F.array_join(cut, "")).alias(f"{name}_ident")
+
+    return total.join(text, keys).select(*keys, *groups, *[ident(n) for n in groups])
 
 
 def clip_to_gold(gold: DataFrame, pred: DataFrame, key: str) -> DataFrame:
@@ -341,22 +350,19 @@ def arm_comparison(cases: DataFrame, arms: DataFrame, intended: DataFrame, key:
     wanted = fired_on.join(intended, key).select("arm", key, "s", "e", F.lit(True).alias("ok"))
     both = arms.select("arm", key, "s", "e", F.lit(False).alias("ok")).unionByName(wanted)
     cover = covered(both, ["arm", key], {"masked": ~F.col("ok"), "either": F.lit(True), "meant": F.col("ok")})
-    n_all = cases.agg(F.count("*").alias("texts"), F.sum("n_chars").alias("chars"))
+    texts = cases.agg(F.count("*")).scalar()
+    chars = cases.agg(F.sum("n_chars")).scalar()
     per_arm = cover.groupBy("arm").agg(
         F.count("*").alias("fired"),
         F.sum("masked").alias("masked"),
         F.sum(F.col("either") - F.col("meant")).alias("surplus"),
     )
-    return (
-        per_arm.withColumn("_one", F.lit(1))
-        .join(n_all.withColumn("_one", F.lit(1)), "_one")
-        .select(
-            "arm",
-            F.try_divide("fired", "texts").alias("fire_rate"),
-            "masked",
-            "surplus",
-            F.try_divide("surplus", "chars").alias("over_redaction"),
-        )
+    return per_arm.select(
+        "arm",
+        F.try_divide(F.col("fired"), texts).alias("fire_rate"),
+        "masked",
+        "surplus",
+        F.try_divide(F.col("surplus"), chars).alias("over_redaction"),
     )
 
 

@@ -41,7 +41,7 @@ def index_percentiles(
     edges = hist.groupBy(*keys).agg(
         F.percentile_approx(value, cuts, 1000).alias("edges"), F.sum("c").alias("n")
     )
-    banded = _join(hist, edges, keys).withColumn(
+    banded = _attach(hist, edges, keys).withColumn(
         "band", F.size(F.filter("edges", lambda x: x < F.col(value)))
     )
     totals = banded.groupBy(*keys, "band").agg(F.sum("c").alias("in_band"), F.max("n").alias("n"))
@@ -58,7 +58,7 @@ def index_percentiles(
     targets = placed.select(*keys, "band", "n", "before", inside.alias("want")).where(
         F.size("want") > 0
     )
-    ranked = _join(banded.drop("n", "edges"), targets, [*keys, "band"])
+    ranked = banded.drop("n", "edges").join(targets, [*keys, "band"])
     running = Window.partitionBy(*keys, "band").orderBy(value)
     last = F.col("before") + F.sum("c").over(
         running.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -81,12 +81,13 @@ def _name(p: float) -> str:
     return f"p{p:g}".replace(".", "_")
 
 
-def _join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Join on keys; without keys the right side is one aggregate row."""
+def _attach(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Join an aggregate on its keys; without keys it is one row, so one scalar."""
     if keys:
         return left.join(right, list(keys))
-    return (
-        left.withColumn("_one", F.lit(1)).join(right.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    row = right.select(F.struct(*right.columns)).scalar()
+    return left.withColumn("_row", row).select(
+        *left.columns, *[F.col("_row")[c].alias(c) for c in right.columns]
     )
 
 

@@ -101,3 +101,12 @@ def test_very_long_token_is_linear(spark):
     text = "x" * 200_000
     (row,) = detected(spark, [text])
     assert row.f == []
+
+
+def test_a_text_full_of_hits(spark):
+    """Thousands of hits in one text stay practical and exact."""
+    text = " ".join(f"u{i}@example.com 0301{i:07d}" for i in range(3000))
+    (row,) = detected(spark, [text])
+    assert len(row.f) == 6000
+    assert [text[f.span_start : f.span_end] for f in row.f[:2]] == ["u0@example.com", "03010000000"]
+    assert row.f[-1].span_end == len(text)

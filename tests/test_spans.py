@@ -27,6 +27,15 @@ def random_rows(n=300, seed=7):
             tier = rng.choice([1, 2])
             found.append((rng.choice(KINDS), "memo", s, e, tier, rng.choice([0.5, 0.9, 1.0])))
         rows.append((i, text, found))
+    # Texts with far more findings than one block of the scans holds.
+    for j in range(6):
+        text = "".join(rng.choice("abc éü😀 ,1") for _ in range(1500))
+        found = []
+        for _ in range(150 + 30 * j):
+            s = rng.randrange(1490)
+            e = s + rng.randint(1, 3 + 2 * j)
+            found.append((rng.choice(KINDS), "memo", s, e, rng.choice([1, 2]), rng.choice([0.5, 0.9, 1.0])))
+        rows.append((n + j, text, found))
     return rows
 
 
