@@ -379,6 +379,15 @@ def distribution_table(rows: DataFrame, value: str, keys: Sequence[str]) -> Data
     return index_percentiles(rows, value, (50, 90), keys, rule="floor").join(base, keys)
 
 
+def conflict_table(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Per group: how often predictions contradict themselves, and by how much."""
+    return rows.groupBy(*keys).agg(
+        F.count("*").alias("n"),
+        F.avg((F.col("conflict_frac") > 0).cast("int")).alias("any_conflict"),
+        F.avg("conflict_frac").alias("mean_conflict"),
+    )
+
+
 def _sweep(rows: DataFrame, levels: Sequence[float], flag, name: str) -> DataFrame:
     """One pass for all levels: conditional counts side by side, then unpivoted."""
     pos, neg = F.col("kind") == "positive", F.col("kind") == "negative"

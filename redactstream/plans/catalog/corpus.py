@@ -126,6 +126,13 @@ def top_n_counts(spark, sf_dir):
     return counts.orderBy(F.desc("n"), "source").limit(10)
 
 
+@query("first_n_rows", "SELECT doc_id, lang FROM documents ORDER BY doc_id LIMIT 500")
+def first_n_rows(spark, sf_dir):
+    """The head of a table in row order, as a reader pages through it."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    return docs.orderBy("doc_id").limit(500)
+
+
 @query(
     "label_locale_pivot",
     with_labels(

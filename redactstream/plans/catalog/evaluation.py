@@ -243,6 +243,20 @@ def distribution_table(spark, sf_dir):
     return _rounded(out, ["p50", "p90", "mean", "max", "untouched"])
 
 
+@query(
+    "type_conflict",
+    with_measures(
+        """
+        SELECT kind, grp, count(*) AS n, round(avg((both_n > 0)::int), 6)::double AS any_conflict,
+          round(avg(CASE WHEN masked > 0 THEN both_n / masked ELSE 0 END), 6)::double AS mean_conflict FROM s GROUP BY ALL
+        """
+    ),
+)
+def type_conflict(spark, sf_dir):
+    out = ev.conflict_table(_measures(spark, sf_dir), ["kind", "grp"])
+    return _rounded(out, ["any_conflict", "mean_conflict"])
+
+
 _SWEEP = """
 SELECT lvl AS {name}, count(*) FILTER (kind = 'positive' AND {flag}) AS flagged_pos, count(*) FILTER (kind = 'negative' AND {flag}) AS flagged_neg,
   round(count(*) FILTER ({flag}) / count(*), 6)::double AS flagged_share,
