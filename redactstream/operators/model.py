@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from redactstream.functions import spans
 from redactstream.functions.address import CITIES, extend_address
 from redactstream.functions.spans import bridge_spans, find_spans, finding
-from redactstream.schema import FINDINGS, MODEL_SPAN, MODEL_THRESHOLD, TIER_MODEL
+from redactstream.schema import FINDINGS, MODEL_SPAN, MODEL_THRESHOLD, TIER_MODEL, TIER_RULES
 
 # What each entity type is called towards a zero-shot model.
 LABEL_GROUPS = {
@@ -214,6 +214,65 @@ def model_spans(
     return out.withColumnRenamed("model_findings", "spans").drop("_free")
 
 
+# --------------------------------------------------------------------------- #
+# Detectors that only exist in Python
+# --------------------------------------------------------------------------- #
+Found = Sequence[tuple[str, int, int, float]]
+
+
+@dataclass(frozen=True)
+class PythonDetector:
+    """A rule detector written in Python. `load()` runs once per worker and returns
+    `detect(text, field)`, which lists (entity type, start, end, confidence)."""
+
+    load: Callable[[], Callable[[str, str], Found]]
+
+
+def detector_udf(detector: PythonDetector):
+    @F.pandas_udf(f"found: {FINDINGS}, error: string")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        detect = detector.load()
+        for fields, texts in batches:
+            found, errors = [], []
+            for names, values in zip(fields, texts):
+                row: list[dict] = []
+                error = None
+                try:
+                    for name, text in zip(names, values):
+                        row += [
+                            {
+                                "entity_type": kind,
+                                "field": name,
+                                "span_start": int(s),
+                                "span_end": int(e),
+                                "tier": TIER_RULES,
+                                "confidence": float(p),
+                            }
+                            for kind, s, e, p in detect(text, name)
+                        ]
+                except Exception as exc:
+                    row, error = [], type(exc).__name__
+                found.append(row)
+                errors.append(error)
+            yield pd.DataFrame({"found": found, "error": errors})
+
+    return run
+
+
+def detect_python(df: DataFrame, parts: str, detector: PythonDetector) -> DataFrame:
+    """Adds custom_findings and detector_error from `parts`: array<struct<field,text>>.
+
+    A detector that raises on a record fails that record only; the caller holds it.
+    """
+    col = F.coalesce(F.col(parts), spans.empty("array<struct<field:string,text:string>>"))
+    names = F.transform(col, lambda p: p["field"])
+    texts = F.transform(col, lambda p: p["text"])
+    out = df.withColumn("_custom", detector_udf(detector)(names, texts))
+    return out.withColumns(
+        {"custom_findings": F.col("_custom.found"), "detector_error": F.col("_custom.error")}
+    ).drop("_custom")
+
+
 def latency_share(decided: DataFrame) -> DataFrame:
     """Model time over the records that used it, whether or not anything was found."""
     used = F.size(F.coalesce(F.col("_free"), F.array())) > 0

@@ -9,7 +9,7 @@ from redactstream.functions import spans
 from redactstream.functions.rules import Detector, detect_declared, detect_rules
 from redactstream.functions.identity import poison_id
 from redactstream.operators.envelope import envelopes
-from redactstream.operators.model import Predictor, detect_model
+from redactstream.operators.model import Predictor, PythonDetector, detect_model, detect_python
 from redactstream.schema import (
     CLEAN_TOPIC,
     FINDINGS,
@@ -108,6 +108,29 @@ def free_text_prefilter(fields: Column, policy: Policy) -> Column:
     )
 
 
+def undeclared_parts(fields: Column, policy: Policy) -> Column:
+    """All string members that detectors look at."""
+    wanted = F.filter(
+        fields, lambda m: m["text"].isNotNull() & _declared_type(m["key"], policy).isNull()
+    )
+    return F.transform(wanted, lambda m: F.struct(m["key"].alias("field"), m["text"].alias("text")))
+
+
+def add_rule_findings(fields: Column, custom: Column) -> Column:
+    """Each member's findings with those of a custom rule detector, overlaps resolved."""
+
+    def join(m: Column) -> Column:
+        own = F.filter(custom, lambda f: f["field"] == m["key"])
+        return F.struct(
+            m["key"].alias("key"),
+            m["value"].alias("value"),
+            m["text"].alias("text"),
+            spans.dedupe_longest(F.concat(m["findings"], own)).alias("findings"),
+        )
+
+    return F.transform(fields, join)
+
+
 def add_model_findings(fields: Column, model: Column) -> Column:
     """Combine each member's rule findings with the model findings for that member."""
 
@@ -128,6 +151,7 @@ def dispatch_fields(
     policy: Policy | None = None,
     predictor: Predictor | None = None,
     extra_detectors: dict[str, Detector] | None = None,
+    python_detector: PythonDetector | None = None,
 ) -> DataFrame:
     """Adds `fields` (per member text and findings) and `findings` (all of them).
 
@@ -138,6 +162,12 @@ def dispatch_fields(
     out = df.withColumn(
         "fields", spans.once(rule_fields(payload_entries(F.col("payload")), policy, extra_detectors))
     )
+    if python_detector is not None:
+        out = out.withColumn("_parts", spans.once(undeclared_parts(F.col("fields"), policy)))
+        out = detect_python(out, "_parts", python_detector)
+        out = out.withColumn(
+            "fields", spans.once(add_rule_findings(F.col("fields"), F.col("custom_findings")))
+        )
     if predictor is not None:
         out = out.withColumn("_free", spans.once(free_text_prefilter(F.col("fields"), policy)))
         out = detect_model(out, "_free", predictor)
@@ -180,6 +210,7 @@ def decide(
     predictor: Predictor | None = None,
     extra_detectors: dict[str, Detector] | None = None,
     processing_time: Column | None = None,
+    python_detector: PythonDetector | None = None,
 ) -> DataFrame:
     """The whole per-record decision: one wide row per raw record.
 
@@ -187,17 +218,20 @@ def decide(
     never reaches the clean output.
     """
     out = envelopes(raw, processing_time)
-    out = dispatch_fields(out, policy, predictor, extra_detectors)
+    out = dispatch_fields(out, policy, predictor, extra_detectors, python_detector)
     if predictor is None:
         out = out.withColumn("model_ms", F.lit(0.0))
-    else:
-        broke = F.col("failure_class").isNull() & F.col("model_error").isNotNull()
+    errors = [F.col("detector_error")] if python_detector is not None else []
+    errors += [F.col("model_error")] if predictor is not None else []
+    if errors:
+        error = F.coalesce(*errors)
+        broke = F.col("failure_class").isNull() & error.isNotNull()
         poison = poison_id(F.col("topic"), F.col("partition"), F.col("offset"))
         failed = {
             "message_id": poison,
             "findings": spans.empty(FINDINGS),
-            "failure_class": F.col("model_error"),
-            "failure_detail": F.lit("the model stage failed on this record"),
+            "failure_class": error,
+            "failure_detail": F.lit("a detector or the model failed on this record"),
         }
         out = spans.stage(
             out, {c: F.when(broke, v).otherwise(F.col(c)) for c, v in failed.items()}

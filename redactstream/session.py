@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 
+import redactstream
+
 REQUIRED = {
     # Timestamps in the audit trail are UTC everywhere.
     "spark.sql.session.timeZone": "UTC",
@@ -20,6 +23,9 @@ DEFAULTS = {
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Apply the settings every job needs to a session somebody else built."""
+    # The few functions that run in Python workers travel with the job, so executors do
+    # not need the package installed.
+    cloudpickle.register_pickle_by_value(redactstream)
     for key, value in REQUIRED.items():
         spark.conf.set(key, value)
     return spark
@@ -42,4 +48,4 @@ def local_session(cores: str = "*", app: str = "redactstream", **extra: str) ->
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    return spark
+    return prepare(spark)

@@ -151,3 +151,39 @@ def test_relational_dictionary(spark):
     df = spark.createDataFrame([(1, "Noor ki roshni, noor, Noor.")], "k int, t string")
     rows = mdl.dictionary_spans(df, "k", "t", names).collect()
     assert sorted((r.s, r.e) for r in rows) == [(0, 4), (22, 26)]
+
+
+def shouting():
+    """A loader pickled by value, as a closure: tests are not importable in workers."""
+
+    def load():
+        def detect(text, field):
+            if "BOOM" in text:
+                raise ZeroDivisionError("detector bug")
+            at = text.find("SECRET")
+            return [("CODE_WORD", at, at + 6, 1.0)] if at >= 0 else []
+
+        return detect
+
+    return mdl.PythonDetector(load)
+
+
+def test_custom_python_detector_fails_one_record_closed(spark):
+    memos = ["a SECRET plan, ring 03011234567", "BOOM SECRET", "plain"]
+    rows = decide(raw(spark, memos), python_detector=shouting()).orderBy("offset").collect()
+    assert [r.action for r in rows] == ["redacted", "quarantined", "clean"]
+    assert json.loads(bytes(rows[0].out_value))["payload"]["memo"] == "a [CODE_WORD] plan, ring [PHONE_PK]"
+    assert rows[1].failure_class == "ZeroDivisionError" and rows[1].findings == []
+    both = decide(raw(spark, memos), predictor=find(WORDS), python_detector=shouting())
+    assert [r.action for r in both.orderBy("offset").collect()] == ["redacted", "quarantined", "clean"]
+
+
+def test_custom_column_detector(spark):
+    from redactstream.functions.spans import find_spans, finding
+
+    def order_numbers(text, field):
+        hits = find_spans(text, r"#[0-9]{4,}")
+        return F.transform(hits, lambda h: finding(F.lit("ORDER"), field, h["s"], h["e"], 1, F.lit(1.0)))
+
+    (row,) = decide(raw(spark, ["see #12345"]), extra_detectors={"order": order_numbers}).collect()
+    assert json.loads(bytes(row.out_value))["payload"]["memo"] == "see [ORDER]"
