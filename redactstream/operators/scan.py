@@ -27,7 +27,7 @@ def scan(
     """Adds findings, merged, redacted, counts, coverage and action to every row.
 
     Rows are never reordered or joined: the model result arrives in the row itself.
-    `max_chars` is the reference length of a model input, and a cut row says so in
+    `max_chars` is the length a model reads of its input, and a cut row says so in
     `truncated`; None scans texts of any length whole.
     """
     out = df.withColumn("_text", F.coalesce(F.col(text), F.lit("")))

@@ -52,7 +52,7 @@ def micros(c: Column | str) -> Column:
 
 # Failed records have no event time; the fixture gives them this processing time.
 FIXED_NOW = "2024-01-01 00:00:00"
-DAY_SECONDS = 3600
+SPREAD_SECONDS = 3600
 
 _STORED: dict[tuple[str, str], str] = {}
 
@@ -87,7 +87,7 @@ def trail(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
         path = f"{shared_folder(spark)}/redactstream-trail-{tag}"
         k = F.col("offset")
         at = F.col("event_ts") + F.make_dt_interval(
-            F.lit(0), F.lit(0), F.lit(0), (k % DAY_SECONDS).cast("decimal(18,6)")
+            F.lit(0), F.lit(0), F.lit(0), (k % SPREAD_SECONDS).cast("decimal(18,6)")
         )
         rows = decided(spark, sf_dir)
         # One detection pass feeds both tables: the decision is stored, then split.

@@ -18,6 +18,9 @@ DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Detection builds large expressions; tracing the Python line of each part of them
+    # would take longer than planning the query.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
