@@ -117,3 +117,42 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return chat_round_trip(turns.unionByName(probe))
+
+
+@register(
+    "op6_minmax_near_dedup",
+    r"""
+    WITH RECURSIVE w AS (
+      SELECT doc_id, list_filter(regexp_split_to_array(
+               translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+               '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+      FROM documents),
+    s AS (
+      SELECT doc_id, list_distinct(CASE
+               WHEN len(w) = 0 THEN []
+               WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+               ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s
+      FROM w),
+    classes AS (SELECT list_sort(s) AS s, min(doc_id) AS rep FROM s GROUP BY 1),
+    n AS (SELECT rep, len(s) AS n FROM classes WHERE len(s) > 0),
+    e AS (SELECT rep, hash(unnest(s)) AS x FROM classes),
+    inter AS (SELECT a.rep AS a, b.rep AS b, count(*) AS i FROM e a JOIN e b USING (x) WHERE a.rep < b.rep GROUP BY ALL),
+    links AS (
+      SELECT a, b FROM inter JOIN n p ON p.rep = a JOIN n q ON q.rep = b
+      WHERE 100 * i >= 85 * (p.n + q.n - i)),
+    pairs AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+    reach AS (
+      SELECT rep, rep AS seen FROM n
+      UNION SELECT reach.rep, pairs.b FROM reach JOIN pairs ON pairs.a = reach.seen),
+    comp AS (SELECT rep, min(seen) AS component_id FROM reach GROUP BY rep)
+    SELECT s.doc_id, len(s.s) AS n_shingles,
+           CASE WHEN len(s.s) = 0 THEN s.doc_id ELSE component_id END AS component_id,
+           CASE WHEN len(s.s) = 0 THEN true ELSE component_id = s.doc_id END AS kept
+    FROM s JOIN classes ON classes.s = list_sort(s.s) LEFT JOIN comp USING (rep)
+    """,
+)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of all documents."""
+    from redactstream.llm.near_dups import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
