@@ -156,3 +156,56 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     from redactstream.llm.near_dups import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@register("op7_decontamination")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items that documents hold, within their edit budgets."""
+    from redactstream.llm.decontamination import find_leaks
+
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@register("op8_toxicity")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected severity of every document."""
+    from redactstream.llm.toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@register(
+    "op2_exact_top_k",
+    """
+    WITH v AS (
+      SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+      WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    s AS (
+      SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0)
+    SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+    FROM s QUALIFY rank <= 5
+    """,
+)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best inner products of every fiftieth vector among all."""
+    from redactstream.llm.exact_search import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"))
+
+
+@register("op4_quality")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every document."""
+    from redactstream.llm.quality import quality
+
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@register("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages of corpus_pipeline.py over all documents."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
