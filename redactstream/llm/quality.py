@@ -1,7 +1,7 @@
 """Quality from supervised subword embeddings.
 
 A document is the average of learned vectors of its hashed features: words, pairs of
-neighbouring words, and character n-grams (over bytes, a word's edge counts as a character).
+neighbouring words (a word beside itself is one pair for all words), and character n-grams (over bytes, a word's edge counts as a character).
 A softmax layer on the average gives the classes. Both are trained with stochastic gradient descent in
 numpy on a bounded sample of labelled texts.
 
@@ -56,7 +56,9 @@ class Features:
         doc = np.searchsorted(at, begin, side="right") - 1
         yield self._bucket(word), doc
         pair = doc[1:] == doc[:-1]
-        yield self._bucket(word[:-1] * U(0x9E3779B97F4A7C15) + word[1:])[pair], doc[1:][pair]
+        # A word that repeats its neighbour makes the same pair whatever the word.
+        two = np.where(word[1:] == word[:-1], U(1), word[:-1] * U(0x9E3779B97F4A7C15) + word[1:])
+        yield self._bucket(two)[pair], doc[1:][pair]
         np.cumsum((data.astype(U) + U(1)) * self.powers.up[:n], out=run[1:])
         gaps = np.concatenate([[0], np.cumsum(gap)])
         place = np.repeat(np.arange(len(raw)), np.diff(at))
