@@ -175,7 +175,9 @@ def confirmed_links(docs: DataFrame, clusters: DataFrame, width: int, percent: i
     blocks = F.ceil(F.greatest(F.col("m") / BLOCK_DOCS, F.col("w") / BLOCK_WORDS)).cast("int")
     cut = clusters.join(size.where("m > 1").select("cluster", blocks.alias("g")), "cluster")
     cut = cut.select("doc_id", "cluster", "g", F.pmod(F.xxhash64("doc_id"), "g").cast("int").alias("k"))
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(cut, "doc_id")
+    # Neither side has a size bound, so neither is broadcast at any scale.
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    texts = texts.join(cut.hint("merge"), "doc_id")
     # Block k meets every block: once as first, once as second, and itself.
     tasks = texts.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("g") - 1))).select(
         "cluster",
