@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from redactstream.llm.store import keep
-from redactstream.llm.subwords import default_tokenizer, text_slices, worker_subwords
+from redactstream.llm.subwords import Subwords, default_tokenizer, text_slices
 
 CAPACITY = 2048
 END_ID = 0
@@ -51,7 +51,7 @@ def tokenised_pieces(
         import numpy as np
         import pyarrow as pa
 
-        sub = worker_subwords(path)
+        sub = Subwords(path)
         for batch in batches:
             texts, doc_ids = batch.column(1).to_pylist(), batch.column(0).to_numpy(zero_copy_only=False)
             known = np.array(batch.column(0).is_valid())

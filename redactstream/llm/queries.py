@@ -10,6 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 import redactstream.llm
 
+# Rows of text that a Python worker holds at once: texts can be long.
+BATCHES = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
+}
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -17,6 +23,8 @@ ORACLES: dict[str, str] = {}
 def prepare(spark: SparkSession) -> SparkSession:
     """Ship this subpackage's functions with the job, so executors need not have it installed."""
     cloudpickle.register_pickle_by_value(redactstream.llm)
+    for key, value in BATCHES.items():
+        spark.conf.set(key, value)
     return spark
 
 

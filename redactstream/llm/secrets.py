@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from redactstream.llm.subwords import text_slices
 
-BLOCK_CHARS = 2_000_000
+BLOCK_CHARS = 1_000_000
 ALL, NONE = ("all",), ("none",)
 
 

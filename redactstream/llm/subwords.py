@@ -4,7 +4,7 @@ The tokenizer changes characters one by one and its words never hold white space
 ids of a text are those of its chunks between ASCII white space, one after another; and in
 a chunk of plain letters, digits and signs they are those of the runs the tokenizer's split
 rule makes. A task finds these words with array operations over the bytes of many texts,
-encodes each distinct word once per worker with the tokenizers library and copies its ids to every
+encodes each distinct word once with the tokenizers library and copies its ids to every
 place. Chunks with an apostrophe or any character beyond Latin-1 letters are one word here.
 Words are told apart by 64-bit hashes of their bytes.
 """
@@ -15,8 +15,8 @@ import os
 
 WORD_END = "</w>"
 JOINED_WORDS = 20_000
-SLICE_CHARS = 4_000_000
-KNOWN_WORDS = 2_000_000
+SLICE_CHARS = 2_000_000
+KNOWN_WORDS = 500_000
 TABLE_BITS = 21
 
 
@@ -174,16 +174,6 @@ class Subwords:
         return ids.astype("<u4"), before[np.searchsorted(begin, doc_at)]
 
 
-def worker_subwords(path: str) -> Subwords:
-    """The encoder of this Python worker: words learnt in one task serve its next ones."""
-    import tokenizers
-
-    made = tokenizers.__dict__.setdefault("_worker_subwords", {})
-    if path not in made:
-        made[path] = Subwords(path)
-    return made[path]
-
-
 def text_slices(texts: list, most: int = SLICE_CHARS):
     """Index ranges of consecutive texts of about `most` characters; a longer text may end one."""
     start, size = 0, 0

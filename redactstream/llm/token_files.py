@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from redactstream.llm.store import fresh_folder, keep, open_store, read_file, write_file
-from redactstream.llm.subwords import SLICE_CHARS, default_tokenizer, text_slices, worker_subwords
+from redactstream.llm.subwords import SLICE_CHARS, Subwords, default_tokenizer, text_slices
 
 MAGIC = b"PFOR0001"
 BLOCK = 1024
@@ -186,7 +186,7 @@ def write_token_files(
         import pyarrow as pa
         from pyspark import TaskContext
 
-        sub = worker_subwords(path)
+        sub = Subwords(path)
         store, root = open_store(folder)
         part, shard = TaskContext.get().partitionId(), 0
         held: list[tuple] = []

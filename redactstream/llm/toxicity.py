@@ -24,13 +24,13 @@ from redactstream.llm.samples import labelled_sample
 from redactstream.llm.subwords import text_slices
 from redactstream.llm.words import LOWER, Powers, mix
 
-PER_CLASS = 4_000
+PER_CLASS = 2_000
 GRADES = 3
 LEAST_DOCS = 3
 PENALTY = 2e-4
 STEPS = 150
 REJECT = 0.35
-SLICE = 2_000_000
+SLICE = 1_000_000
 
 # Letters, digits and all bytes beyond ASCII make words.
 WORD_BYTE = np.zeros(256, bool)
