@@ -42,15 +42,34 @@ def normalise_event_ts(text: Column) -> Column:
 
 
 def event_time(normalised: Column) -> Column:
-    """The instant behind a normalised event time; without an offset it is UTC."""
-    rest = F.substring(normalised, 12, 100)
-    hour_only = rest.rlike(r"\A\d{2}(?:[+-]|\z)")
-    rest = F.when(
-        hour_only, F.concat(F.left(rest, F.lit(2)), F.lit(":00"), F.substring(rest, 3, 100))
-    ).otherwise(rest)
-    day = F.left(normalised, F.lit(10))
-    whole = F.when(F.length(normalised) > 10, F.concat(day, F.lit("T"), rest)).otherwise(day)
-    return whole.try_cast("timestamp")
+    """The instant behind a normalised event time; without an offset it is UTC.
+
+    Minutes and seconds may be absent, and offsets may go up to a day: the offset is taken
+    off by arithmetic.
+    """
+    rest = F.substr(normalised, F.lit(12))
+    zone = F.regexp_extract(rest, r"[+-].*\z", 0)
+    clock = F.left(rest, F.length(rest) - F.length(zone))
+    clock = (
+        F.when(F.length(clock) == 0, F.lit("00:00:00"))
+        .when(F.length(clock) == 2, F.concat(clock, F.lit(":00:00")))
+        .when(F.length(clock) == 5, F.concat(clock, F.lit(":00")))
+        .otherwise(clock)
+    )
+    local = F.concat(F.left(normalised, F.lit(10)), F.lit("T"), clock).try_cast("timestamp")
+
+    def micros(z: Column) -> Column:
+        whole = (
+            F.substr(z, F.lit(2), F.lit(2)).cast("long") * 3600
+            + F.substr(z, F.lit(5), F.lit(2)).cast("long") * 60
+            + F.when(F.length(z) > 6, F.substr(z, F.lit(8)).cast("decimal(8,6)")).otherwise(0)
+        )
+        return (F.when(z.startswith("-"), -whole).otherwise(whole) * 1_000_000).cast("long")
+
+    def shifted(t: Column) -> Column:
+        return let(zone, lambda z: F.when(z == "", t).otherwise(F.timestamp_micros(F.unix_micros(t) - micros(z))))
+
+    return let(local, shifted)
 
 
 def poison_id(topic: Column, partition: Column, offset: Column) -> Column:

@@ -93,6 +93,12 @@ def classify_failure(parsed: DataFrame) -> DataFrame:
             WRONG_TYPE,
             "schema_version is not an integer",
         ),
+        (
+            F.col("_schema_version").isNotNull()
+            & F.try_variant_get(F.col("_schema_version"), "$", "int").isNull(),
+            BAD_VALUE,
+            "schema_version is too large",
+        ),
         (F.col("_members").isNull(), WRONG_TYPE, "payload is not an object"),
     ]
     first = F.coalesce(

@@ -26,6 +26,7 @@ LABEL_GROUPS = {
     "ADDRESS": ("address", "street_address", "location"),
 }
 CHUNK = 8
+WINDOW_OVERLAP = 200
 MAX_BRIDGE = 32
 
 Prediction = Sequence[tuple[int, int, float]]
@@ -41,6 +42,49 @@ class BatchPredictor:
     threshold: float = MODEL_THRESHOLD
     extend: bool = True
     chunk: int = CHUNK
+    # What the model reads at once; longer texts go in windows that overlap. None: no limit.
+    max_chars: int | None = None
+    overlap: int = WINDOW_OVERLAP
+
+
+def windowed(predict: Predict, chars: int, overlap: int) -> Predict:
+    """The same predictions on texts of any length: windows overlap by `overlap` characters.
+
+    Spans are shifted back. One that lies inside another of its text, as where a window
+    cuts it, or that repeats it, gives way.
+    """
+
+    def run(texts, labels, threshold):
+        step = chars - overlap
+        parts = [
+            (i, at) for i, t in enumerate(texts) for at in range(0, max(len(t) - overlap, 1), step)
+        ]
+        found = predict([texts[i][at : at + chars] for i, at in parts], labels, threshold)
+        if len(found) != len(parts):
+            raise ValueError("the model returned another number of results than texts")
+        out: list[list] = [[] for _ in texts]
+        for (i, at), spans_ in zip(parts, found):
+            out[i] += [(s + at, e + at, p) for s, e, p in spans_]
+        return [outermost(x) for x in out]
+
+    return run
+
+
+def outermost(found: list) -> list:
+    """Spans by start, less those inside another; equal spans keep the best score."""
+    kept: list = []
+    for s, e, p in sorted(found, key=lambda x: (x[0], -x[1], -x[2])):
+        if not kept or e > kept[-1][1]:
+            kept.append((s, e, p))
+    return kept
+
+
+def checked_span(s, e, text: str) -> tuple[int, int]:
+    """The span, if it lies in the text; otherwise the record must fail."""
+    s, e = int(s), int(e)
+    if not 0 <= s < e <= len(text):
+        raise ValueError("a span lies outside its text")
+    return s, e
 
 
 @dataclass(frozen=True)
@@ -86,14 +130,18 @@ _RESULT = f"spans: array<array<{MODEL_SPAN}>>, error: string, ms: double"
 def _infer(predictor: BatchPredictor, predict: Predict, texts: list[str]) -> list[list[dict]]:
     """One pass per label group over chunks of texts; results line up with the texts."""
     out: list[list[dict]] = [[] for _ in texts]
+    if predictor.max_chars:
+        predict = windowed(predict, predictor.max_chars, predictor.overlap)
     for at in range(0, len(texts), predictor.chunk):
         part = texts[at : at + predictor.chunk]
         for entity, labels in predictor.label_groups.items():
-            for i, found in enumerate(predict(part, list(labels), predictor.threshold)):
-                out[at + i].extend(
-                    {"entity_type": entity, "s": int(s), "e": int(e), "score": float(p)}
-                    for s, e, p in found
-                )
+            results = list(predict(part, list(labels), predictor.threshold))
+            if len(results) != len(part):
+                raise ValueError("the model returned another number of results than texts")
+            for i, found in enumerate(results):
+                for s, e, p in found:
+                    s, e = checked_span(s, e, part[i])
+                    out[at + i].append({"entity_type": entity, "s": s, "e": e, "score": float(p)})
     return out
 
 
@@ -239,17 +287,18 @@ def detector_udf(detector: PythonDetector):
                 error = None
                 try:
                     for name, text in zip(names, values):
-                        row += [
-                            {
-                                "entity_type": kind,
-                                "field": name,
-                                "span_start": int(s),
-                                "span_end": int(e),
-                                "tier": TIER_RULES,
-                                "confidence": float(p),
-                            }
-                            for kind, s, e, p in detect(text, name)
-                        ]
+                        for kind, s, e, p in detect(text, name):
+                            s, e = checked_span(s, e, text)
+                            row.append(
+                                {
+                                    "entity_type": kind,
+                                    "field": name,
+                                    "span_start": s,
+                                    "span_end": e,
+                                    "tier": TIER_RULES,
+                                    "confidence": float(p),
+                                }
+                            )
                 except Exception as exc:
                     row, error = [], type(exc).__name__
                 found.append(row)

@@ -11,7 +11,7 @@ from redactstream.functions import spans
 from redactstream.functions.rules import Detector, detect_rules
 from redactstream.operators.model import Predictor, detect_model
 from redactstream.operators.routing import max_tier, route_action
-from redactstream.schema import FREE_TEXT_FIELDS, MAX_SCAN_CHARS
+from redactstream.schema import FREE_TEXT_FIELDS
 
 
 def scan(
@@ -22,21 +22,15 @@ def scan(
     entity_types: Sequence[str] | None = None,
     predictor: Predictor | None = None,
     extra_detectors: dict[str, Detector] | None = None,
-    max_chars: int | None = MAX_SCAN_CHARS,
 ) -> DataFrame:
     """Adds findings, merged, redacted, counts, coverage and action to every row.
 
-    Rows are never reordered or joined: the model result arrives in the row itself.
-    `max_chars` is the length a model reads of its input, and a cut row says so in
-    `truncated`; None scans texts of any length whole.
+    Rows are never reordered or joined: the model result arrives in the row itself. Texts
+    of any length are scanned whole, so `truncated` is always false; a model with an input
+    length reads overlapping windows (`BatchPredictor.max_chars`).
     """
     out = df.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
-    if max_chars is None:
-        out = out.withColumn("truncated", F.lit(False))
-    else:
-        out = out.withColumn("truncated", F.length("_text") > max_chars).withColumn(
-            "_text", spans.clip(F.col("_text"), max_chars)
-        )
+    out = out.withColumn("truncated", F.lit(False))
     out = out.withColumn(
         "findings", spans.once(detect_rules(F.col("_text"), F.lit(field), extra_detectors))
     )

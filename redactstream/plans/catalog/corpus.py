@@ -398,7 +398,7 @@ _WIDTHS = ("account_holder", "cnic", "iban_from", "phone", "memo")
 @query(
     "widest_column",
     with_txn(
-        ", s AS (SELECT * FROM txn ORDER BY k LIMIT 50) SELECT * FROM ("
+        ", s AS (SELECT * FROM txn) SELECT * FROM ("
         + " UNION ALL ".join(
             f"SELECT {i} AS ordinal, '{c}' AS \"column\", sum(length({c}))::bigint AS chars FROM s" for i, c in enumerate(_WIDTHS)
         )
@@ -406,6 +406,5 @@ _WIDTHS = ("account_holder", "cnic", "iban_from", "phone", "memo")
     ),
 )
 def widest_column(spark, sf_dir):
-    """Characters per column over the first fifty rows, the measure behind the default."""
-    head = txn(spark, sf_dir).orderBy("k").limit(files.WIDTH_SAMPLE).select(*_WIDTHS)
-    return files.width_table(head)
+    """Characters per column over all rows, the measure behind the default."""
+    return files.width_table(txn(spark, sf_dir).select(*_WIDTHS))

@@ -293,7 +293,8 @@ def canonical_uuid(spark, sf_dir):
 
 
 _STAMP = """
-concat(substr(cast(event_ts AS string), 1, 10), CASE WHEN k % 9 = 0 THEN '' WHEN k % 9 = 1 THEN 'T10:11:12Z'
+concat(substr(cast(event_ts AS string), 1, 10), CASE WHEN k % 63 = 9 THEN 'T10:11Z' WHEN k % 63 = 10 THEN 'T10:11+05:00' WHEN k % 63 = 11 THEN ' 10-23:59'
+  WHEN k % 63 = 12 THEN 'T10Z' WHEN k % 9 = 0 THEN '' WHEN k % 9 = 1 THEN 'T10:11:12Z'
   WHEN k % 9 = 2 THEN ' 10:11:12.123456Z' WHEN k % 9 = 3 THEN 'T10:11' WHEN k % 9 = 4 THEN 'T10:11:12.1234+05:00'
   WHEN k % 9 = 5 THEN 'T24:00:00' WHEN k % 9 = 6 THEN 'T10:11:12-05:30' WHEN k % 9 = 7 THEN ' noon' ELSE 'T10:11:12.250+00:00' END)
 """
@@ -303,9 +304,11 @@ concat(substr(cast(event_ts AS string), 1, 10), CASE WHEN k % 9 = 0 THEN '' WHEN
     "normalise_event_ts",
     with_txn(
         f"""
-        SELECT k, CASE WHEN k % 9 IN (4, 5, 7) THEN NULL ELSE regexp_replace(t, 'Z$', '+00:00') END AS stamp,
-          CASE k % 9 WHEN 0 THEN epoch_us(d) WHEN 1 THEN epoch_us(d) + 36672000000 WHEN 2 THEN epoch_us(d) + 36672123456
-            WHEN 3 THEN epoch_us(d) + 36660000000 WHEN 6 THEN epoch_us(d) + 56472000000 WHEN 8 THEN epoch_us(d) + 36672250000 END AS at
+        SELECT k, CASE WHEN k % 9 IN (4, 5, 7) AND k % 63 NOT IN (9, 10, 11, 12) THEN NULL ELSE regexp_replace(t, 'Z$', '+00:00') END AS stamp,
+          CASE WHEN k % 63 = 9 THEN epoch_us(d) + 36660000000 WHEN k % 63 = 10 THEN epoch_us(d) + 18660000000
+            WHEN k % 63 = 11 THEN epoch_us(d) + 122340000000 WHEN k % 63 = 12 THEN epoch_us(d) + 36000000000
+            ELSE CASE k % 9 WHEN 0 THEN epoch_us(d) WHEN 1 THEN epoch_us(d) + 36672000000 WHEN 2 THEN epoch_us(d) + 36672123456
+            WHEN 3 THEN epoch_us(d) + 36660000000 WHEN 6 THEN epoch_us(d) + 56472000000 WHEN 8 THEN epoch_us(d) + 36672250000 END END AS at
         FROM (SELECT k, {_STAMP} AS t, date_trunc('day', event_ts)::timestamp AS d FROM txn)
         """
     ),

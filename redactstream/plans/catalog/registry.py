@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import re
 import tempfile
 from collections.abc import Callable
 
@@ -62,6 +63,8 @@ def shared_folder(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     spark.conf.set("spark.checkpoint.dir", folder)
     return folder

@@ -504,7 +504,7 @@ def retention_purge(spark, sf_dir):
     topic = F.when(F.col("action") == "quarantined", "txn.quarantine").otherwise("txn.clean")
     rows = messages.select("message_id", topic.alias("topic"), F.col("processed_ts").alias("ts"))
     now = F.to_timestamp(F.lit("1997-06-01 00:00:00"))
-    return broker.retention_purge(rows, broker.retention_policy(spark), now).drop("ts")
+    return broker.retention_purge(rows, now).drop("ts")
 
 
 # --------------------------------------------------------------------------- #

@@ -380,7 +380,7 @@ def scan_result(spark, sf_dir):
 def scan_batch(spark, sf_dir):
     """Whole documents, whatever their length."""
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    out = sc.scan(docs, "text", field="text", max_chars=None)
+    out = sc.scan(docs, "text", field="text")
     return out.select(
         "doc_id", F.size("findings").alias("n_findings"), "masked_chars", "identifying_chars", "action", "truncated"
     )
@@ -389,13 +389,13 @@ def scan_batch(spark, sf_dir):
 @query(
     "scan_conversations",
     r"""
-    SELECT conv_id, turn, 0 AS n_findings, left(text, 1000) AS redacted, length(text) > 1000 AS truncated,
-      length(regexp_replace(left(text, 1000), '[^\p{L}\p{N}]', '', 'g'))::int AS identifying_chars
+    SELECT conv_id, turn, 0 AS n_findings, text AS redacted, false AS truncated,
+      length(regexp_replace(text, '[^\p{L}\p{N}]', '', 'g'))::int AS identifying_chars
     FROM conversations
     """,
 )
 def scan_conversations(spark, sf_dir):
-    """Turns hold nothing to find: negatives, cut at a model's input length and flagged."""
+    """Turns hold nothing to find: negatives, scanned whole."""
     turns = table(spark, sf_dir, "conversations")
     out = sc.scan(turns, "text")
     return out.select("conv_id", "turn", F.size("findings").alias("n_findings"), "redacted", "truncated", "identifying_chars")

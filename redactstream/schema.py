@@ -37,7 +37,6 @@ CLEAN_TOPIC = "txn.clean"
 QUARANTINE_TOPIC = "txn.quarantine"
 RETENTION_HOURS = {RAW_TOPIC: 24, CLEAN_TOPIC: 168, QUARANTINE_TOPIC: 72}
 UNVALIDATED_CONFIDENCE = 0.5
-MAX_SCAN_CHARS = 1000
 FAILURE_DETAIL_CHARS = 500
 MODEL_THRESHOLD = 0.55
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-WIDTH_SAMPLE = 50
 
 SPAN_SCHEMA = "array<struct<start:int,end:int,text:string,label:string>>"
 OSM_SCHEMA = "elements array<struct<type:string,id:bigint,tags:map<string,string>>>"
@@ -50,11 +49,11 @@ def csv_columns(spark: SparkSession, path: str) -> list[str]:
     return read_csv(spark, path).columns
 
 
-def widest_column(df: DataFrame, sample: int = WIDTH_SAMPLE) -> str | None:
-    """The column with most characters over the first rows; the leftmost wins ties."""
+def widest_column(df: DataFrame) -> str | None:
+    """The column with most characters over all rows; the leftmost wins ties."""
     if not df.columns:
         return None
-    widths = width_table(df.limit(sample))
+    widths = width_table(df)
     best = widths.orderBy(F.desc("chars"), "ordinal").select("column").head()
     return best["column"] if best else df.columns[0]
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -109,12 +110,39 @@ def test_scan_and_stream_agree(spark):
         assert sorted(map(tuple, d.findings)) == sorted(map(tuple, s.findings))
 
 
-def test_long_rows_are_cut_and_say_so(spark):
+def test_long_rows_are_scanned_whole(spark):
     df = spark.createDataFrame([("x " * 600 + "03011234567",)], "memo string")
     row = sc.scan(df, "memo").head()
-    assert row.truncated and row.findings == [] and len(row.redacted) == 1000
-    whole = sc.scan(df, "memo", max_chars=None).head()
-    assert not whole.truncated and [f.entity_type for f in whole.findings] == ["PHONE_PK"]
+    assert not row.truncated and [f.entity_type for f in row.findings] == ["PHONE_PK"]
+    assert row.redacted == "x " * 600 + "[PHONE_PK]"
+
+
+def test_model_windows_find_names_past_and_across_their_edges():
+    from redactstream.operators.model import windowed
+
+    def predict(texts, labels, threshold):
+        assert all(len(t) <= 50 for t in texts)
+        return [[(m.start(), m.end(), 0.9) for m in re.finditer("Ayesha Malik", t)] for t in texts]
+
+    text = "x" * 44 + "Ayesha Malik" + "y" * 200 + "Ayesha Malik"
+    assert windowed(predict, 50, 20)([text, "", "Ayesha Malik"], ["name"], 0.5) == [
+        [(44, 56, 0.9), (256, 268, 0.9)],
+        [],
+        [(0, 12, 0.9)],
+    ]
+
+
+@pytest.mark.parametrize(
+    "result",
+    [[], [[(0, 3, 0.9)], []], [[(-3, 2, 0.9)]], [[(0, 400, 0.9)]], [[(5, 5, 0.9)]]],
+    ids=["short", "long", "negative", "overlong", "empty span"],
+)
+def test_misbehaving_models_fail_the_record(spark, result):
+    from redactstream.operators.model import BatchPredictor
+
+    predictor = BatchPredictor(load=lambda: lambda texts, labels, threshold: result, label_groups={"PERSON_NAME": ("name",)})
+    row = decide(raw(spark, ["twelve chars"]), predictor=predictor).head()
+    assert row.action == "quarantined" and row.failure_class is not None
 
 
 EXTENSION = [
