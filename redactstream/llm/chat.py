@@ -2,7 +2,8 @@
 
 A conversation is written turn by turn as `<|im_start|>role`, a line end, the text,
 `<|im_end|>` and a line end. The grammar is deterministic: a turn ends at the next
-`<|im_end|>` and its role at the first line end, and any escaped control string is restored.
+`<|im_end|>` and its role at the first line end, no bare control string may stand inside, and
+escaped ones are restored.
 A control string in a role or text is escaped by a tilde behind its `<`; one with tildes gets
 one more, so restoring takes one away. Each turn is rendered as it is and parsed back; only
 turns that do not come back the same are escaped, after which they do: an escaped text holds
@@ -46,10 +47,16 @@ def render_turn(role: Column, text: Column) -> Column:
 def parse_turns(rendered: Column) -> Column:
     """The grammar: an array of (role, text), restored; null where the text is not of it."""
     parts = F.split(rendered, r"<\|im_end\|>\n")
-    whole = (F.element_at(parts, -1) == "") & F.forall(
-        F.slice(parts, 1, F.size(parts) - 1), lambda p: p.startswith(START) & p.contains("\n") & ~F.substr(p, F.lit(13)).contains(START)
-    )
-    body = F.transform(F.slice(parts, 1, F.size(parts) - 1), lambda p: F.substr(p, F.lit(len(START) + 1)))
+    inner = F.slice(parts, 1, F.size(parts) - 1)
+
+    def proper(p: Column) -> Column:
+        body = F.substr(p, F.lit(len(START) + 1))
+        text = F.substr(body, F.instr(body, "\n") + 1)
+        holds = body.contains(START) | body.contains(END) | text.contains(BREAK)
+        return p.startswith(START) & body.contains("\n") & ~holds
+
+    whole = (F.element_at(parts, -1) == "") & F.forall(inner, proper)
+    body = F.transform(inner, lambda p: F.substr(p, F.lit(len(START) + 1)))
     turns = F.transform(
         body,
         lambda p: F.struct(

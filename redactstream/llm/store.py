@@ -62,11 +62,12 @@ def write_file(store, path: str, data: bytes) -> None:
     """Write under a passing name, then rename: a task that dies leaves no half file behind."""
     part = f"{path}.{uuid.uuid4().hex}.part"
     store.create_dir(path.rsplit("/", 1)[0], recursive=True)
-    with store.open_output_stream(part) as out:
+    with store.open_output_stream(part, compression=None) as out:
         out.write(data)
     store.move(part, path)
 
 
 def read_file(store, path: str) -> bytes:
-    with store.open_input_stream(path) as source:
+    # The bytes as they are: by default a name in .gz would be unpacked.
+    with store.open_input_stream(path, compression=None) as source:
         return source.read()
