@@ -27,6 +27,7 @@ SHARD_BYTES = 32_000_000
 VERSION = b"WARC/1.1\r\n"
 VERSION_LINE = re.compile(rb"WARC/1\.[01]\r\n")
 GZIP = b"\x1f\x8b\x08"
+STEP = 16_384
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 MANIFEST = "path string, n_records long, n_bytes long"
@@ -106,18 +107,22 @@ def parse_record(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
 
 def member_records(data: bytes, at: int) -> tuple[list[tuple[dict[str, str], bytes]], int]:
     """All records of the gzip member at a position, and the member's end."""
-    z = zlib.decompressobj(31)
+    z, out, stop, view = zlib.decompressobj(31), [], at, memoryview(data)
     try:
-        plain = z.decompress(memoryview(data)[at:])
+        # In small steps: what a step leaves unused is copied.
+        while not z.eof and stop < len(data):
+            out.append(z.decompress(view[stop : stop + STEP]))
+            stop = min(stop + STEP, len(data))
     except zlib.error:
         raise Damaged("gzip member does not unpack") from None
     if not z.eof:
         raise Damaged("gzip member is cut off")
+    plain = b"".join(out)
     records, p = [], 0
     while p < len(plain):
         headers, block, p = parse_record(plain, p)
         records.append((headers, block))
-    return records, len(data) - len(z.unused_data)
+    return records, stop - len(z.unused_data)
 
 
 def salvage(data: bytes) -> Iterator[tuple]:
