@@ -35,12 +35,20 @@ def _letters_to_numbers(s: Column) -> Column:
 
 
 def mod97(number: Column) -> Column:
-    """Remainder of a digit string of up to 38 digits."""
-    return number.try_cast("decimal(38,0)") % F.lit(97).cast("decimal(38,0)")
+    """Remainder of a digit string of any length, nine digits at a time; null if it is none."""
+
+    def fold(digits: Column) -> Column:
+        return F.aggregate(
+            F.regexp_extract_all(digits, F.lit("[0-9]{1,9}"), F.lit(0)),
+            F.lit(0).cast("long"),
+            lambda rest, part: (rest * F.pow(F.lit(10), F.length(part)).cast("long") + part.cast("long")) % 97,
+        )
+
+    return F.when(number.rlike(r"\A[0-9]+\z"), fold(number))
 
 
 def iban_mod97_ok(iban: Column) -> Column:
-    turned = F.concat(F.substring(iban, 5, 1000), F.left(iban, F.lit(4)))
+    turned = F.concat(F.substr(iban, F.lit(5)), F.left(iban, F.lit(4)))
     ok = mod97(_letters_to_numbers(turned)) == 1
     return F.coalesce(ok, F.lit(False))
 

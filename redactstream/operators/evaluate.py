@@ -23,7 +23,6 @@ CONFLICT_LEVELS = (0.01, 0.10, 0.25, 0.50, 1.01)
 SCORE_BANDS = ((0.55, 0.65), (0.65, 0.75), (0.75, 0.85), (0.85, 0.95), (0.95, 1.01))
 ESCALATION_THRESHOLDS = (0.60, 0.65, 0.70, 0.75, 0.85)
 ESCALATION_BUDGET = 0.02
-WEAK_CELL_CASES = 200
 
 
 def covered(
@@ -311,9 +310,21 @@ def residual_summary(rows: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def weakest_cells(rows: DataFrame, keys: Sequence[str], min_cases: int = WEAK_CELL_CASES) -> DataFrame:
-    cells = residual_summary(rows, keys).where(F.col("n") >= min_cases)
-    return cells.select(*keys, "n", "effective_coverage").orderBy("effective_coverage", *keys)
+def weakest_cells(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """All cells, weakest first, with their number of cases: small cells are the reader's choice.
+
+    `leading` and `interior` are shares of the identifying characters that were missed.
+    """
+    missed = F.col("gold_ident") - F.col("covered_ident")
+    cells = residual_summary(rows, keys).select(
+        *keys,
+        "n",
+        "raw_coverage",
+        "effective_coverage",
+        F.coalesce(F.try_divide("leading", missed), F.lit(0.0)).alias("leading"),
+        F.coalesce(F.try_divide("interior", missed), F.lit(0.0)).alias("interior"),
+    )
+    return cells.orderBy("effective_coverage", *keys)
 
 
 def arm_damage(

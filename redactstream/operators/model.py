@@ -95,8 +95,8 @@ class DictionaryPredictor:
     and must stay small; `dictionary_spans` joins against a dictionary of any size.
     """
 
-    first_names: Sequence[str] = ("Ayesha", "Bilal", "Hamza", "Noor", "Iman", "Mahnoor")
-    last_names: Sequence[str] = ("Malik", "Khan", "Qureshi", "Raza", "Warraich")
+    first_names: Sequence[str] = ("Nadia", "Tariq", "Samina", "Noor", "Rabia", "Shahid")
+    last_names: Sequence[str] = ("Lodhi", "Mirza", "Gilani", "Raza", "Warraich")
     places: Sequence[str] = (*CITIES, "PECHS", "Gulberg", "Clifton")
     score: float = 0.9
     threshold: float = MODEL_THRESHOLD

@@ -347,7 +347,9 @@ def best_typed_dedup(spark, sf_dir):
     f"""{_CORPUS}, parts AS (SELECT 'city' AS dimension, city AS value FROM corpus UNION ALL SELECT 'form', form FROM corpus
       UNION ALL SELECT 'kind', kind FROM corpus UNION ALL SELECT 'has_housenumber', has_housenumber::varchar FROM corpus
       UNION ALL SELECT 'latin', latin::varchar FROM corpus)
-    SELECT dimension, value, count(*) AS n, round(count(*) / (SELECT count(*) FROM corpus), 6)::double AS share FROM parts GROUP BY ALL
+    SELECT *, round(n / (SELECT count(*) FROM corpus), 6)::double AS share,
+      (row_number() OVER (PARTITION BY dimension ORDER BY n DESC, value NULLS FIRST))::int AS rank
+    FROM (SELECT dimension, value, count(*) AS n FROM parts GROUP BY 1, 2)
     """,
 )
 def corpus_composition(spark, sf_dir):

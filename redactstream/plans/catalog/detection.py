@@ -173,7 +173,7 @@ def luhn_ok(spark, sf_dir):
 
 _ROUTING = "lpad(cast(k * 104729 % 1000000000 AS string), 9, '0')"
 _BIC = """
-concat(CASE WHEN k % 11 = 0 THEN 'M3ZN' ELSE 'MEZN' END, split_part('PK,US,DE,ZZ,GB,QX,FR', ',', cast(1 + k % 7 AS int)),
+concat(CASE WHEN k % 11 = 0 THEN 'RD5T' ELSE 'RDKT' END, split_part('PK,US,DE,ZZ,GB,QX,FR', ',', cast(1 + k % 7 AS int)),
        'KA', CASE WHEN k % 3 = 0 THEN '' WHEN k % 3 = 1 THEN lpad(cast(k % 1000 AS string), 3, '0') ELSE 'X' END)
 """
 

@@ -359,14 +359,17 @@ def identifying_coverage(spark, sf_dir):
     "weakest_cells",
     with_residual(
         """
-        SELECT city, band, count(*) AS n, round(sum(covered_ident) / sum(gold_ident), 6)::double AS effective_coverage
-        FROM res JOIN gold USING (k) GROUP BY ALL HAVING count(*) >= 200
+        SELECT city, band, count(*) AS n, round(sum(covered_chars) / sum(gold_chars), 6)::double AS raw_coverage,
+          round(sum(covered_ident) / sum(gold_ident), 6)::double AS effective_coverage,
+          coalesce(round(sum("leading") / nullif(sum(gold_ident) - sum(covered_ident), 0), 6), 0)::double AS "leading",
+          coalesce(round(sum(interior) / nullif(sum(gold_ident) - sum(covered_ident), 0), 6), 0)::double AS interior
+        FROM res JOIN gold USING (k) GROUP BY ALL
         """
     ),
 )
 def weakest_cells(spark, sf_dir):
     out = ev.weakest_cells(_residual(spark, sf_dir), ["city", "band"])
-    return _rounded(out, ["effective_coverage"])
+    return _rounded(out, ["raw_coverage", "effective_coverage", "leading", "interior"])
 
 
 _ARMS = """
@@ -530,12 +533,12 @@ def recalibrate(spark, sf_dir):
     return _rounded(ev.recalibrate(gold, pred, _THRESHOLDS), ["coverage", "preds_per_case"])
 
 
-# Sentence frames of the evaluation cases.
+# Sentence frames of the evaluation cases.
 FRAMES = (
-    ("english", "Transfer to {x}"),
-    ("english", "Rent payment from {x}, contact 03001234567"),
-    ("codeswitch", "Paisay {x} ko transfer kar diye"),
-    ("roman_urdu", "{x} ko bhej dein"),
+    ("english", "For the savings of {x}"),
+    ("english", "Deposit by {x}, call 03001234567"),
+    ("codeswitch", "Yeh amount {x} wale account mein"),
+    ("roman_urdu", "{x} tak pohancha do"),
 )
 
 

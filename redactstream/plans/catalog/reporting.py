@@ -207,8 +207,8 @@ SELECT m.message_id, epoch_us(m.processed_ts) AS processed_us,
 FROM m LEFT JOIN f USING (message_id) WHERE m.action = 'quarantined' AND m.failure_class IS NULL GROUP BY ALL
 """
 _DETAIL = """
-SELECT *, CASE WHEN entity_types IS NULL THEN 'quarantined with no sub-threshold rule finding recorded'
-  ELSE entity_types || ' failed validation (confidence ' || printf('%.2f', min_confidence) || ')' END AS detail FROM u
+SELECT *, CASE WHEN entity_types IS NULL THEN 'held, though every rule finding is certain'
+  ELSE entity_types || ': uncertain at ' || printf('%.2f', min_confidence) END AS detail FROM u
 """
 
 
@@ -266,17 +266,14 @@ def throughput(spark, sf_dir):
     "rep_top_trigger",
     with_trail(
         f"""
-        , u AS ({_UNCERTAIN} ORDER BY processed_us DESC, message_id LIMIT 50),
-        size AS (SELECT count(*) AS total FROM m WHERE action = 'quarantined' AND failure_class IS NULL)
-        SELECT entity_types AS trigger, count(*) AS n, (SELECT count(*) FROM u) AS listed, (SELECT total FROM size) AS uncertain_total,
-          CASE WHEN (SELECT count(*) FROM u) >= (SELECT total FROM size) THEN 'all' ELSE 'a sample of' END AS basis
+        , u AS ({_UNCERTAIN})
+        SELECT entity_types AS trigger, count(*) AS n, (SELECT count(*) FROM u)::bigint AS uncertain_total
         FROM u WHERE entity_types IS NOT NULL GROUP BY 1 ORDER BY n DESC, 1 LIMIT 1
         """
     ),
 )
 def top_trigger(spark, sf_dir):
-    messages, findings = trail(spark, sf_dir)
-    return rp.top_trigger(rp.uncertain_queue(messages, findings), rp.queue_totals(messages))
+    return rp.top_trigger(rp.uncertain(*trail(spark, sf_dir)))
 
 
 _CLASSES = """
@@ -692,7 +689,7 @@ def batch_tiers(spark, sf_dir):
     "batch_queue",
     with_txn(
         """
-        SELECT k AS "row", 'row ' || k AS message_id, 'IBAN_PK failed validation (confidence 0.50)' AS detail
+        SELECT k AS "row", 'row ' || k AS message_id, 'IBAN_PK: uncertain at 0.50' AS detail
         FROM txn WHERE k % 50 = 0 ORDER BY k LIMIT 50
         """
     ),

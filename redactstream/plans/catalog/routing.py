@@ -90,9 +90,9 @@ def failclosed(spark, sf_dir):
 
 
 _MEMO_OUT = """
-CASE k % 10 WHEN 4 THEN 'Transfer to [PERSON_NAME]' WHEN 5 THEN 'Rent payment from [PERSON_NAME], contact [PHONE_PK]'
-  WHEN 6 THEN 'Sent by [PERSON_NAME] (CNIC [CNIC]) for invoice #' || (1000 + k % 9000)
-  WHEN 7 THEN 'Refund processed, notify at <[EMAIL]>.' WHEN 8 THEN 'Statement [ADDRESS] par bhej dein' ELSE '' END
+CASE k % 10 WHEN 4 THEN 'For the savings of [PERSON_NAME]' WHEN 5 THEN 'Deposit by [PERSON_NAME], call [PHONE_PK]'
+  WHEN 6 THEN 'Paid in by [PERSON_NAME] (id card [CNIC]) against bill #' || (1000 + k % 9000)
+  WHEN 7 THEN 'Money returned; write to <[EMAIL]>.' WHEN 8 THEN 'Kitab [ADDRESS] bhijwa do' ELSE '' END
 """
 
 

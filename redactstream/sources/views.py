@@ -17,8 +17,8 @@ TABLES = (
 _IDS_SQL = """
 SELECT o_orderkey AS k,
   concat(substr(h,1,8),'-',substr(h,9,4),'-',substr(h,13,4),'-',substr(h,17,4),'-',substr(h,21,12)) AS message_id,
-  concat(split_part('Ayesha,Bilal,Hamza,Noor,Iman,Mahnoor', ',', cast(1 + o_custkey % 6 AS int)), ' ',
-         split_part('Malik,Khan,Qureshi,Raza,Warraich', ',', cast(1 + o_orderkey % 5 AS int))) AS account_holder,
+  concat(split_part('Nadia,Tariq,Samina,Noor,Rabia,Shahid', ',', cast(1 + o_custkey % 6 AS int)), ' ',
+         split_part('Lodhi,Mirza,Gilani,Raza,Warraich', ',', cast(1 + o_orderkey % 5 AS int))) AS account_holder,
   concat(cast(1 + o_orderkey % 7 AS string), lpad(cast(o_orderkey * 7919 % 10000 AS string), 4, '0'), '-',
          lpad(cast(o_orderkey * 104729 % 10000000 AS string), 7, '0'), '-', cast(o_orderkey % 10 AS string)) AS cnic,
   1000000000 + o_orderkey * 15485863 AS a1, 2000000000 + o_custkey * 32452843 AS a2,
@@ -34,20 +34,20 @@ FROM (SELECT o.*, md5(cast(o_orderkey AS string)) AS h FROM orders o) o
 
 TXN_SQL = f"""
 SELECT k, message_id, account_holder, cnic,
-       concat('PK', lpad(cast(CASE WHEN k % 50 = 0 THEN (chk1 + 1) % 100 ELSE chk1 END AS string), 2, '0'), 'MEZN', acct1) AS iban_from,
-       concat('PK', lpad(cast(chk2 AS string), 2, '0'), 'HABB', acct2) AS iban_to,
+       concat('PK', lpad(cast(CASE WHEN k % 50 = 0 THEN (chk1 + 1) % 100 ELSE chk1 END AS string), 2, '0'), 'RDKT', acct1) AS iban_from,
+       concat('PK', lpad(cast(chk2 AS string), 2, '0'), 'LMPA', acct2) AS iban_to,
        phone, email, amount_pkr, channel, event_ts,
        CASE WHEN k % 10 < 4 THEN ''
-            WHEN k % 10 = 4 THEN concat('Transfer to ', account_holder)
-            WHEN k % 10 = 5 THEN concat('Rent payment from ', account_holder, ', contact ', phone)
-            WHEN k % 10 = 6 THEN concat('Sent by ', account_holder, ' (CNIC ', cnic, ') for invoice #', cast(1000 + k % 9000 AS string))
-            WHEN k % 10 = 7 THEN concat('Refund processed, notify at <', email, '>.')
-            WHEN k % 10 = 8 THEN concat('Statement Plot ', cast(1 + k % 90 AS string), 'B, PECHS Block 2, Karachi par bhej dein')
-            ELSE 'Utility bill payment' END AS memo
+            WHEN k % 10 = 4 THEN concat('For the savings of ', account_holder)
+            WHEN k % 10 = 5 THEN concat('Deposit by ', account_holder, ', call ', phone)
+            WHEN k % 10 = 6 THEN concat('Paid in by ', account_holder, ' (id card ', cnic, ') against bill #', cast(1000 + k % 9000 AS string))
+            WHEN k % 10 = 7 THEN concat('Money returned; write to <', email, '>.')
+            WHEN k % 10 = 8 THEN concat('Kitab Plot ', cast(1 + k % 90 AS string), 'B, PECHS Block 2, Karachi bhijwa do')
+            ELSE 'School fee of the term' END AS memo
 FROM (
   SELECT b.*,
-    98 - (72 * 25 + (a1 % 97) * 27 + 91) % 97 AS chk1,
-    98 - (11 * 25 + (a2 % 97) * 27 + 91) % 97 AS chk2,
+    98 - (62 * 25 + (a1 % 97) * 27 + 91) % 97 AS chk1,
+    98 - (74 * 25 + (a2 % 97) * 27 + 91) % 97 AS chk2,
     lpad(cast(a1 AS string), 16, '0') AS acct1, lpad(cast(a2 AS string), 16, '0') AS acct2
   FROM ({_IDS_SQL}) b
 ) c
