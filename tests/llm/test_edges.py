@@ -76,7 +76,8 @@ def test_near_duplicates_odd_rows(spark):
     assert near_dups.near_duplicates(docs_of(spark, rows).limit(0)).collect() == []
 
 
-def test_large_clusters_in_blocks_keep_every_link(spark, monkeypatch):
+@pytest.mark.parametrize("options", [{"percent": 85}, {"percent": 80, "rows": 6, "bands": 42}], ids=["query", "pipeline"])
+def test_large_clusters_in_blocks_keep_every_link(spark, monkeypatch, options):
     monkeypatch.setattr(near_dups, "BLOCK_DOCS", 4)
     words, rng, rows = sentence(5).split(), random.Random(3), []
     for d in range(40):
@@ -90,9 +91,9 @@ def test_large_clusters_in_blocks_keep_every_link(spark, monkeypatch):
         for i in range(40):
             for j in range(i):
                 inter = len(sets[i] & sets[j])
-                if 100 * inter >= 85 * (len(sets[i]) + len(sets[j]) - inter):
+                if 100 * inter >= options["percent"] * (len(sets[i]) + len(sets[j]) - inter):
                     root[i] = root[j] = min(root[i], root[j])
-    got = {r.doc_id: r.component_id for r in near_dups.near_duplicates(docs_of(spark, rows)).collect()}
+    got = {r.doc_id: r.component_id for r in near_dups.near_duplicates(docs_of(spark, rows), **options).collect()}
     assert got == dict(enumerate(root))
 
 
