@@ -1,11 +1,11 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
 Texts are lower-cased and every run of characters other than letters and digits becomes one
-blank. A test item is looked for whole, or, if it is long, in overlapping windows, so that a
-part of an item is found too. A window that may hold k edits is split into k+1 pieces: within
-k edits at least one piece stays untouched. One automaton finds all pieces of all windows in one pass
-over the whole text; around a hit, Myers' bit-parallel distance says whether the window
-occurs within its budget.
+blank. Every test item is looked for whole, and a long one in overlapping windows besides, so that
+a part of an item is found too. A pattern (item or window) that may hold k edits is split into k+1
+pieces: within k edits at least one piece stays untouched. One automaton finds all pieces of all
+patterns in one pass over the whole text; around the hits, Myers' bit-parallel distance says whether
+the pattern occurs within its budget.
 
 Documents are only mapped over. Test items go to every task in blocks of bounded size, one
 pass per block; a benchmark of any size is searched in full.
@@ -32,9 +32,9 @@ def normalised(text: str | None) -> str:
 
 
 def windows(text: str, window: int = WINDOW, stride: int = STRIDE) -> list[str]:
-    """The whole text if it is at most a window and a half, else windows that cover it."""
+    """Windows that cover the text; none if it is at most a window and a half."""
     if len(text) <= window * 3 // 2:
-        return [text]
+        return []
     starts = [*range(0, len(text) - window, stride), len(text) - window]
     return [text[s : s + window] for s in starts]
 
@@ -46,7 +46,7 @@ def pieces(text: str, k: int) -> list[tuple[int, str]]:
 
 
 class Pattern:
-    """Myers' bit vectors of one window."""
+    """Myers' bit vectors of one item or window."""
 
     def __init__(self, text: str, budget: int):
         self.n, self.budget = len(text), budget
@@ -57,7 +57,7 @@ class Pattern:
             self.at[c] = self.at.get(c, 0) | 1 << i
 
     def best(self, text: str) -> tuple[int, int] | None:
-        """Least edits with which the window occurs in the text, and where that ends; None beyond the budget."""
+        """Least edits with which the pattern occurs in the text, and where that ends; None beyond the budget."""
         vp, vn, score, best = self.full, 0, self.n, None
         get, top, full = self.at.get, self.top, self.full
         for j, c in enumerate(text):
@@ -79,45 +79,69 @@ class Pattern:
 
 
 class Matcher:
-    """All windows of a block of test items, behind one automaton over their pieces."""
+    """All items of a block and their windows, behind one automaton over their pieces."""
 
     def __init__(self, items: list[tuple[int, str]], rate: float):
         import ahocorasick
 
-        self.patterns: list[tuple[int, Pattern]] = []
+        self.rate = rate
+        self.texts: list[tuple[int, bool, str]] = []
+        self.patterns: dict[int, Pattern] = {}
         places: dict[str, list[tuple[int, int]]] = {}
         for item_id, text in items:
-            for w in windows(text):
-                k = int(len(w) * rate)
-                for at, piece in pieces(w, k):
-                    places.setdefault(piece, []).append((len(self.patterns), at))
-                self.patterns.append((item_id, Pattern(w, k)))
+            for whole, w in [(True, text), *((False, w) for w in windows(text))]:
+                for at, piece in pieces(w, int(len(w) * rate)):
+                    places.setdefault(piece, []).append((len(self.texts), at))
+                self.texts.append((item_id, whole, w))
         self.automaton = ahocorasick.Automaton()
         for piece, where in places.items():
             self.automaton.add_word(piece, (len(piece), where))
         self.automaton.make_automaton()
 
+    def pattern(self, number: int) -> Pattern:
+        """Bit vectors are made when a piece is first met."""
+        if number not in self.patterns:
+            text = self.texts[number][2]
+            self.patterns[number] = Pattern(text, int(len(text) * self.rate))
+        return self.patterns[number]
+
     def leaks(self, text: str) -> dict[int, tuple[int, int, int]]:
-        """Per item found: least edits, and start and end of that place in the normalised text."""
-        found: dict[int, tuple[int, int, int]] = {}
-        if not self.patterns:
-            return found
-        seen = set()
+        """Per item found: least edits, and start and end of that place in the normalised text.
+
+        The place is that of the whole item if it is there within its budget, else that of a window.
+        """
+        if not self.texts:
+            return {}
+        starts: dict[int, set[int]] = {}
         for last, (size, where) in self.automaton.iter(text):
             for number, at in where:
                 # Hits on one diagonal say the same.
-                start = last + 1 - size - at
-                if (number, start) in seen:
-                    continue
-                seen.add((number, start))
-                item_id, pattern = self.patterns[number]
-                low = max(0, start - pattern.budget)
-                best = pattern.best(text[low : start + pattern.n + pattern.budget])
+                starts.setdefault(number, set()).add(last + 1 - size - at)
+        found: dict[bool, dict[int, tuple[int, int, int]]] = {True: {}, False: {}}
+        for number in sorted(starts, key=lambda n: not self.texts[n][1]):
+            item_id, whole, w = self.texts[number]
+            if len(text) < len(w) - int(len(w) * self.rate) or not whole and item_id in found[True]:
+                continue
+            pattern, places = self.pattern(number), found[whole]
+            for low, high in spans(starts[number], pattern.n, pattern.budget):
+                best = pattern.best(text[low:high])
                 if best:
                     end = low + best[1]
                     place = (best[0], max(0, end - pattern.n), end)
-                    found[item_id] = min(found.get(item_id, place), place)
-        return found
+                    places[item_id] = min(places.get(item_id, place), place)
+        return found[False] | found[True]
+
+
+def spans(starts: set[int], n: int, budget: int) -> list[list[int]]:
+    """The parts of a text around these starts of a pattern; parts that meet are one."""
+    out: list[list[int]] = []
+    for start in sorted(starts):
+        low, high = max(0, start - budget), start + n + budget
+        if out and low <= out[-1][1]:
+            out[-1][1] = high
+        else:
+            out.append([low, high])
+    return out
 
 
 def item_blocks(items: DataFrame, least_chars: int, block_chars: int) -> Iterator[list[tuple[int, str]]]:

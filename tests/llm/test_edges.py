@@ -146,6 +146,20 @@ def test_leaks_of_planted_items(spark):
     assert decontamination.find_leaks(docs.limit(0), bench).collect() == []
 
 
+@pytest.mark.parametrize("length, places", [(200, (96,)), (246, (120,)), (300, (100, 180))])
+def test_long_items_are_found_within_their_whole_budget(spark, length, places):
+    item = sentence(length)[:length]
+    edited = list(item)
+    for at in places:
+        edited[at : at + 8] = "z" * 8
+    text = "before " + "".join(edited) + " after"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    docs = docs_of(spark, [(1, text), (2, sentence(7))])
+    found = [(r.doc_id, r.item_id, r.edits) for r in decontamination.find_leaks(docs, bench).collect()]
+    assert found == [(1, 1, plain_distance(item, text))] and 0 < found[0][2] <= int(length * 0.06)
+    assert [r.doc_id for r in decontamination.without_leaks(docs, bench).collect()] == [2]
+
+
 # ------------------------------------------------------------------ learned scores
 def test_toxicity_learns_grades_and_keeps_clean_documents(spark):
     rows, labels = [], []
