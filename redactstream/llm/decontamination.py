@@ -1,8 +1,9 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
 Texts are lower-cased and every run of characters other than letters and digits becomes one
-blank. Every test item is looked for whole, and a long one in overlapping windows besides, so that
-a part of an item is found too. A pattern (item or window) that may hold k edits is split into k+1
+blank. Every test item is looked for whole, and a longer one in overlapping windows besides, so that
+a part of an item is found too: PASSAGE characters of an item, copied as they are, hold a whole short
+window wherever they begin. Wide windows find longer parts with more edits. A pattern (item or window) that may hold k edits is split into k+1
 pieces: within k edits at least one piece stays untouched. One automaton finds all pieces of all
 patterns in one pass over the whole text; around the hits, Myers' bit-parallel distance says whether
 the pattern occurs within its budget.
@@ -21,6 +22,8 @@ from pyspark.sql import functions as F
 
 RATE = 0.06
 WINDOW, STRIDE = 128, 64
+#: The shortest part of an item that is found wherever it begins, and the stride of windows for it.
+PASSAGE, PASSAGE_STRIDE = 96, 33
 LEAST_CHARS = 24
 BLOCK_CHARS = 2_000_000
 WORD = re.compile(r"[^\W_]+")
@@ -32,9 +35,13 @@ def normalised(text: str | None) -> str:
 
 
 def windows(text: str, window: int = WINDOW, stride: int = STRIDE) -> list[str]:
-    """Windows that cover the text; none if it is at most a window and a half."""
-    if len(text) <= window * 3 // 2:
-        return []
+    """Windows that cover the text, wide ones and short ones; none where the whole text does as well."""
+    short = PASSAGE - PASSAGE_STRIDE + 1
+    out = covering(text, window, stride) if len(text) > window * 3 // 2 else []
+    return out + (covering(text, short, PASSAGE_STRIDE) if len(text) > PASSAGE else [])
+
+
+def covering(text: str, window: int, stride: int) -> list[str]:
     starts = [*range(0, len(text) - window, stride), len(text) - window]
     return [text[s : s + window] for s in starts]
 

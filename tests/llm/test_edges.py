@@ -160,6 +160,16 @@ def test_long_items_are_found_within_their_whole_budget(spark, length, places):
     assert [r.doc_id for r in decontamination.without_leaks(docs, bench).collect()] == [2]
 
 
+@pytest.mark.parametrize("length", [97, 150, 192, 384])
+def test_copied_passages_are_found_at_every_offset(length):
+    item = decontamination.normalised(sentence(length, 80))[:length]
+    matcher = decontamination.Matcher([(1, item)], decontamination.RATE)
+    for size in {96, min(150, length), length}:
+        for at in range(length - size + 1):
+            text = f"before it {item[at : at + size]} and after"
+            assert 1 in matcher.leaks(text), (size, at)
+
+
 # ------------------------------------------------------------------ learned scores
 def test_toxicity_learns_grades_and_keeps_clean_documents(spark):
     rows, labels = [], []
