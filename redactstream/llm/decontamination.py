@@ -6,7 +6,7 @@ a part of an item is found too: PASSAGE characters of an item, copied as they ar
 window wherever they begin. Wide windows find longer parts with more edits. A pattern (item or window) that may hold k edits is split into k+1
 pieces: within k edits at least one piece stays untouched. One automaton finds all pieces of all
 patterns in one pass over the whole text; around the hits, Myers' bit-parallel distance says whether
-the pattern occurs within its budget.
+the pattern occurs within its budget. Short items are searched as they are, as whole words.
 
 Documents are only mapped over. Test items go to every task in blocks of bounded size, one
 pass per block; a benchmark of any size is searched in full.
@@ -27,6 +27,11 @@ PASSAGE, PASSAGE_STRIDE = 96, 33
 LEAST_CHARS = 24
 BLOCK_CHARS = 2_000_000
 WORD = re.compile(r"[^\W_]+")
+#: Thai to Tibetan, Burmese, Khmer, kana and Han: written without blanks, so a word may end anywhere.
+UNSPACED = re.compile(
+    "[\u0e00-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff"
+    "\uf900-\ufaff\uff66-\uff9f\U00016fe0-\U00018cff\U0001aff0-\U0001b16f\U00020000-\U0003ffff]"
+)
 LEAKS = "doc_id long, item_id long, edits int, start int, end int"
 
 
@@ -52,6 +57,14 @@ def pieces(text: str, k: int) -> list[tuple[int, str]]:
     return [(a, text[a:b]) for a, b in zip(cuts[:-1], cuts[1:]) if b > a]
 
 
+def words_at(text: str, start: int, end: int) -> bool:
+    """Whether a normalised text has a border of words at both places."""
+    return all(
+        at in (0, len(text)) or " " in text[at - 1 : at + 1] or UNSPACED.search(text, at - 1, at + 1) is not None
+        for at in (start, end)
+    )
+
+
 class Pattern:
     """Myers' bit vectors of one item or window."""
 
@@ -88,16 +101,17 @@ class Pattern:
 class Matcher:
     """All items of a block and their windows, behind one automaton over their pieces."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float):
+    def __init__(self, items: list[tuple[int, str]], rate: float, least_chars: int = 0):
         import ahocorasick
 
-        self.rate = rate
+        self.rate, self.least_chars = rate, least_chars
         self.texts: list[tuple[int, bool, str]] = []
         self.patterns: dict[int, Pattern] = {}
         places: dict[str, list[tuple[int, int]]] = {}
         for item_id, text in items:
-            for whole, w in [(True, text), *((False, w) for w in windows(text))]:
-                for at, piece in pieces(w, int(len(w) * rate)):
+            short = len(text) < least_chars
+            for whole, w in [(True, text), *((False, w) for w in windows(text) if not short)]:
+                for at, piece in pieces(w, 0 if short else int(len(w) * rate)):
                     places.setdefault(piece, []).append((len(self.texts), at))
                 self.texts.append((item_id, whole, w))
         self.automaton = ahocorasick.Automaton()
@@ -127,6 +141,11 @@ class Matcher:
         found: dict[bool, dict[int, tuple[int, int, int]]] = {True: {}, False: {}}
         for number in sorted(starts, key=lambda n: not self.texts[n][1]):
             item_id, whole, w = self.texts[number]
+            if len(w) < self.least_chars and whole:
+                exact = [(0, a, a + len(w)) for a in starts[number] if words_at(text, a, a + len(w))]
+                if exact:
+                    found[True][item_id] = min(found[True].get(item_id, exact[0]), *exact)
+                continue
             if len(text) < len(w) - int(len(w) * self.rate) or not whole and item_id in found[True]:
                 continue
             pattern, places = self.pattern(number), found[whole]
@@ -151,13 +170,13 @@ def spans(starts: set[int], n: int, budget: int) -> list[list[int]]:
     return out
 
 
-def item_blocks(items: DataFrame, least_chars: int, block_chars: int) -> Iterator[list[tuple[int, str]]]:
+def item_blocks(items: DataFrame, least_chars: int, block_chars: int, short_items: bool) -> Iterator[list[tuple[int, str]]]:
     """The normalised items in blocks of about `block_chars`, fetched one partition at a time."""
     block, size = [], 0
     rows = items.select(F.col("item_id").cast("long"), F.col("text").cast("string"))
     for item_id, text in rows.where("item_id IS NOT NULL").orderBy("item_id", "text").toLocalIterator():
         text = normalised(text)
-        if len(text) < least_chars:
+        if not text or len(text) < least_chars and not short_items:
             continue
         block.append((item_id, text))
         size += len(text)
@@ -174,22 +193,24 @@ def find_leaks(
     rate: float = RATE,
     least_chars: int = LEAST_CHARS,
     block_chars: int = BLOCK_CHARS,
+    short_items: bool = False,
 ) -> DataFrame:
     """(doc_id, item_id, edits, start, end): each test item that a document holds, at its best place.
 
     Positions are those of the normalised text. `rate` is the edits allowed per character.
-    Items with fewer than `least_chars` normalised characters say too little and are not looked
-    for; null texts are empty. Repeated document rows give repeated results; items that repeat an
+    Items with fewer than `least_chars` normalised characters say too little for edits: with
+    `short_items` they are found word for word, without it they are not looked for. Null texts are
+    empty, and an item without a letter or digit has nothing to look for. Repeated document rows give repeated results; items that repeat an
     item_id count as one. Without items or documents there are no rows.
     """
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     out = None
-    for block in item_blocks(items, least_chars, block_chars):
+    for block in item_blocks(items, least_chars, block_chars, short_items):
 
         def run(batches, block=block) -> Iterator:
             import pyarrow as pa
 
-            matcher = Matcher(block, rate)
+            matcher = Matcher(block, rate, least_chars)
             for batch in batches:
                 rows = []
                 for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -211,14 +232,14 @@ def without_leaks(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The documents that hold no test item; all columns. Rows without a doc_id are judged by text too."""
     source = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").cast("string"))
     kind = source.schema["row"].dataType.simpleString()
-    rate = options.get("rate", RATE)
-    blocks = item_blocks(items, options.get("least_chars", LEAST_CHARS), options.get("block_chars", BLOCK_CHARS))
-    for block in blocks:
+    rate, least_chars = options.get("rate", RATE), options.get("least_chars", LEAST_CHARS)
+    block_chars, short_items = options.get("block_chars", BLOCK_CHARS), options.get("short_items", False)
+    for block in item_blocks(items, least_chars, block_chars, short_items):
 
         def run(batches, block=block) -> Iterator:
             import pyarrow as pa
 
-            matcher = Matcher(block, rate)
+            matcher = Matcher(block, rate, least_chars)
             for batch in batches:
                 clean = [not matcher.leaks(normalised(t)) for t in batch.column(1).to_pylist()]
                 yield batch.filter(pa.array(clean, pa.bool_()))

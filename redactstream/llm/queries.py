@@ -171,7 +171,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items that documents hold, within their edit budgets."""
     from redactstream.llm.decontamination import find_leaks
 
-    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), short_items=True)
 
 
 @register("op8_toxicity")

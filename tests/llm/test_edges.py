@@ -170,6 +170,24 @@ def test_copied_passages_are_found_at_every_offset(length):
             assert 1 in matcher.leaks(text), (size, at)
 
 
+def test_short_items_are_found_word_for_word(spark, tmp_path):
+    from corpus_pipeline import decontamination as stage
+    from redactstream.llm.queries import QUERIES
+
+    items = [(1, "Who wrote Hamlet?"), (2, "谁写了哈姆雷特？"), (3, "ten"), (4, "?!"), (5, "ハムレットの作者は")]
+    rows = [
+        (1, "Quiz: who wrote -- HAMLET, then?"), (2, "他问谁写了哈姆雷特呢"), (3, "often tend"), (4, "who wrote hamlets"),
+        (5, "Ten."), (6, "昨日ハムレットの作者は誰かと聞いた"), (7, "who wrote a hamlet ?!"), (8, None),
+    ]
+    docs = docs_of(spark, rows)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = QUERIES["op7_decontamination"](spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.item_id, r.edits) for r in found) == [(1, 1, 0), (2, 2, 0), (5, 3, 0), (6, 5, 0)]
+    assert sorted(r.doc_id for r in stage(spark, docs, str(tmp_path)).collect()) == [3, 4, 7, 8]
+    assert [(r.start, r.end) for r in found if r.doc_id == 1] == [(5, 21)]
+
+
 # ------------------------------------------------------------------ learned scores
 def test_toxicity_learns_grades_and_keeps_clean_documents(spark):
     rows, labels = [], []
