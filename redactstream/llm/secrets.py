@@ -157,11 +157,20 @@ BASE = (
     # Runs of any length match, those under 32 drop: the same as runs of 32 and more.
     Rule("hex", Free("[0-9a-f]{32,}"), least=32),
 )
+# What follows the first line of a private key: all up to its last line, or, if that is missing, header lines and
+# base64, as lines of any length or as runs of 16 and more; line ends may be written as \n.
+KEY_END = r"(?:(?!-----BEGIN )[\s\S])*?-----END (?:[A-Z]+ )*PRIVATE KEY-----"
+KEY_GAP = r"(?:[\s\"',>|*#;]|\\[nrt])+"
+KEY_BODY = (
+    rf"(?:{KEY_GAP}(?:[A-Z][A-Za-z0-9]*-[A-Za-z0-9-]+|Comment): (?:(?!\\n)[^\n])*)*"
+    rf"(?:{KEY_GAP}[A-Za-z0-9+/]{{16,}}={{0,2}}"
+    rf"|{KEY_GAP}(?:(?<=[\r\n>|*# ])|(?<=\\[nr]))[A-Za-z0-9+/]+={{0,2}}(?=[\x20\t]*(?:[\r\n\"']|\\[nr]|\Z)))*"
+)
 # Public token shapes beyond the base kinds.
 MORE = (
     Rule(
         "private_key",
-        Seq((Lit("-----BEGIN "), Free("(?:[A-Z]+ )*"), Lit("PRIVATE KEY-----"))),
+        Seq((Lit("-----BEGIN "), Free("(?:[A-Z]+ )*"), Lit("PRIVATE KEY-----"), Free(f"(?:{KEY_END}|{KEY_BODY})"))),
     ),
     Rule(
         "repo_token",

@@ -86,3 +86,22 @@ def test_blanking_keeps_rows_and_columns(spark):
     assert out[5].text == "[SECRET]"
     assert out[6].text == "x" * 100_000 + " [SECRET]"
     assert out[5].n_chars == len(out[5].text) and out[5].secrets == 5
+
+
+def test_private_keys_go_with_their_body(spark):
+    prepare(spark)
+    lines = ["Ab3/" * 16, "x+9Z" * 16, "Qk0" * 7, "cD=="]
+    first, last = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    info = ["Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,0011", ""]
+    whole, cut = [first, *info, *lines, last], [first, *info, *lines]
+    texts = [
+        "\n".join(["see", *whole, "after it"]), "\r\n".join(["see", *whole, "after it"]),
+        "\n".join(["see", *cut, "after it"]), "\n".join(["see", *cut]), "\\n".join(['{"k": "see', *cut]) + '", "after it": 1}',
+        "see " + " ".join([first, *lines, last]) + " after it", "\n".join(["see", *cut, *whole, "after it"]),
+        "\n".join(["> see", *(f"> {x}" for x in cut), "> after it"]), f"see {first} in the text after it",
+    ]
+    out = [r.text for r in blank_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()]
+    for text, got_ in zip(texts, out):
+        assert not any(x in got_ for x in (first, last, "Proc-Type", "DEK-Info", *lines)), got_
+        assert "[SECRET]" in got_ and "see" in got_ and ("after it" in got_) == ("after it" in text), got_
+    assert out[0] == "see\n[SECRET]\nafter it" and out[8] == "see [SECRET] in the text after it"
