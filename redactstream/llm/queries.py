@@ -203,6 +203,70 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"))
 
 
+def crc32_sql(text: str) -> str:
+    """The unsigned CRC-32 of ASCII text, bit by bit."""
+    step = "CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END"
+    byte = f"list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: {step})"
+    codes = f"list_transform(string_split({text}, ''), lambda z: ascii(z)::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), lambda c, b: {byte}), 4294967295::BIGINT)"
+
+
+def leaf_sql(text: str) -> str:
+    fields = ("doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text)
+    return "sha256(" + " || ".join(f"coalesce(strlen({f}) || ':' || {f}, '-')" for f in fields) + ")"
+
+
+@register(
+    "op12_merkle_manifest",
+    f"""
+    WITH RECURSIVE d AS (
+      SELECT doc_id, lang, {leaf_sql("text")} AS leaf,
+             CASE WHEN {crc32_sql("doc_id::VARCHAR")} % 3 = 0
+                  THEN {leaf_sql("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS now
+      FROM documents),
+    leaves AS (
+      SELECT *, row_number() OVER () AS id, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i,
+             count(*) OVER (PARTITION BY lang) AS n FROM d),
+    nodes AS (
+      SELECT 0 AS level, lang, i, leaf AS h, n FROM leaves
+      UNION ALL
+      SELECT level + 1, lang, i // 8, sha256(string_agg(h, '' ORDER BY i)), (any_value(n) + 7) // 8
+      FROM nodes WHERE n > 1 GROUP BY level, lang, i // 8),
+    subroots AS (
+      SELECT lang, h AS subroot, row_number() OVER (ORDER BY encode(lang) NULLS FIRST) - 1 AS i, count(*) OVER () AS n
+      FROM nodes WHERE n = 1),
+    tops AS (
+      SELECT 0 AS level, i, subroot AS h, n FROM subroots
+      UNION ALL
+      SELECT level + 1, i // 8, sha256(string_agg(h, '' ORDER BY i)), (any_value(n) + 7) // 8
+      FROM tops WHERE n > 1 GROUP BY level, i // 8),
+    runs AS (SELECT lang, level, i // 8 AS run, list(h ORDER BY i) AS h FROM nodes WHERE n > 1 GROUP BY ALL),
+    top_runs AS (SELECT level, i // 8 AS run, list(h ORDER BY i) AS h FROM tops WHERE n > 1 GROUP BY ALL),
+    steps AS (
+      SELECT l.id, level, h, (l.i >> 3 * level) % 8 AS k
+      FROM leaves l JOIN runs r ON l.lang IS NOT DISTINCT FROM r.lang AND r.run = l.i >> 3 * level + 3
+      UNION ALL
+      SELECT l.id, 100 + level, h, (s.i >> 3 * level) % 8
+      FROM leaves l JOIN subroots s ON l.lang IS NOT DISTINCT FROM s.lang JOIN top_runs r ON r.run = s.i >> 3 * level + 3),
+    paths AS (
+      SELECT id, list(array_to_string(h[1:k], '') || '|' || array_to_string(h[k + 2:], '') ORDER BY level) AS path
+      FROM steps GROUP BY id),
+    folds AS (
+      SELECT doc_id, leaf, subroot, (SELECT h FROM tops WHERE n = 1) AS root,
+             sha256(replace(array_to_string(coalesce(path, []), ''), '|', '')) AS proof_sha256,
+             list_reduce(list_prepend(coalesce(now, leaf), coalesce(path, [])),
+                         lambda x, y: sha256(split_part(y, '|', 1) || x || split_part(y, '|', 2))) AS folded_root
+      FROM leaves l JOIN subroots s ON l.lang IS NOT DISTINCT FROM s.lang LEFT JOIN paths USING (id))
+    SELECT *, folded_root = root AS verified FROM folds
+    """,
+)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, proof and verdict of every document after some were changed."""
+    from redactstream.llm.merkle import tamper_check
+
+    return tamper_check(table(spark, sf_dir, "documents"))
+
+
 @register("op4_quality")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality of every document."""
