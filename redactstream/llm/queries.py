@@ -267,6 +267,45 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tamper_check(table(spark, sf_dir, "documents"))
 
 
+@register(
+    "op13_prefix_trie",
+    f"""
+    WITH t AS (
+      SELECT conv_id, turn, struct_pack(role := coalesce(role, ''), text := coalesce(text, '')) AS said
+      FROM conversations WHERE conv_id IS NOT NULL),
+    own AS (
+      SELECT conv_id, list(said ORDER BY turn NULLS FIRST, sha256(strlen(said.role) || ':' || said.role || said.text)) AS turns,
+             {crc32_sql("conv_id::VARCHAR")} % 4 AS h
+      FROM t GROUP BY conv_id),
+    built AS (
+      SELECT o.conv_id, list_concat(coalesce(b.turns, [])[1:o.h], o.turns[o.h + 1:]) AS turns
+      FROM own o LEFT JOIN own b ON b.conv_id = o.conv_id - o.conv_id % 20),
+    steps AS (SELECT conv_id, turns, unnest(range(len(turns) + 1)) AS depth FROM built),
+    nodes AS (
+      SELECT turns[1:depth] AS path, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+             sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE len(turns) = depth), '')) AS ends_sha256
+      FROM steps GROUP BY 1, 2),
+    own_saved AS (
+      SELECT *, CASE WHEN depth = 0 THEN 0
+                     ELSE (n_convs - 1) * len(regexp_extract_all(path[depth].text, '[^\\x20\\x09-\\x0D]+')) END AS own
+      FROM nodes),
+    kids AS (SELECT path[1:depth - 1] AS path, depth - 1 AS depth, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1, 2),
+    counted AS (SELECT o.*, coalesce(k.n, 0) AS n_children FROM own_saved o LEFT JOIN kids k USING (path, depth)),
+    above AS (SELECT *, unnest(range(depth + 1)) AS d FROM counted),
+    sums AS (
+      SELECT path[1:d] AS path, d AS depth, sum(own)::BIGINT AS saved_tokens, count(*) FILTER (WHERE n_children = 0) AS n_leaves
+      FROM above GROUP BY 1, 2)
+    SELECT c.conv_id, c.depth, p.conv_id AS parent_conv_id, c.n_convs, c.n_children, s.n_leaves, s.saved_tokens, c.ends_sha256
+    FROM counted c JOIN sums s USING (path, depth) LEFT JOIN counted p ON p.depth = c.depth - 1 AND p.path = c.path[1:c.depth - 1]
+    """,
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix trie of all conversations, rebuilt so that families share their first turns."""
+    from redactstream.llm.prefix_trie import grafted, prefix_trie
+
+    return prefix_trie(grafted(table(spark, sf_dir, "conversations")))
+
+
 @register("op4_quality")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality of every document."""
