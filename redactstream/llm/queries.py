@@ -203,6 +203,30 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"))
 
 
+@register(
+    "op11_substring_dedup",
+    r"""
+    WITH w AS (
+      SELECT row_number() OVER () AS id, doc_id,
+             list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+      FROM documents),
+    starts AS (SELECT id, w, unnest(range(1, len(w) - 33)) AS i FROM w),
+    windows AS (SELECT id, i, array_to_string(w[i:i + 34], ' ') AS s FROM starts),
+    twice AS (SELECT s FROM windows GROUP BY s HAVING count(*) > 1),
+    gone AS (SELECT DISTINCT id, unnest(range(i, i + 35)) AS i FROM windows SEMI JOIN twice USING (s)),
+    words AS (SELECT id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM w),
+    kept AS (SELECT id, string_agg(word, ' ' ORDER BY i) AS kept, count(*) AS n FROM words ANTI JOIN gone USING (id, i) GROUP BY id)
+    SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+    FROM w LEFT JOIN kept USING (id)
+    """,
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the passages that repeat."""
+    from redactstream.llm.substrings import repeats_digest
+
+    return repeats_digest(table(spark, sf_dir, "documents"))
+
+
 def crc32_sql(text: str) -> str:
     """The unsigned CRC-32 of ASCII text, bit by bit."""
     step = "CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END"
