@@ -276,6 +276,16 @@ class PythonDetector:
     load: Callable[[], Callable[[str, str], Found]]
 
 
+def all_of(*detectors: PythonDetector) -> PythonDetector:
+    """Several detectors as one, in a single pass over the rows; one that raises fails the record."""
+
+    def load():
+        loaded = [d.load() for d in detectors]
+        return lambda text, field: [found for detect in loaded for found in detect(text, field)]
+
+    return PythonDetector(load)
+
+
 def detector_udf(detector: PythonDetector):
     @F.pandas_udf(f"found: {FINDINGS}, error: string")
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +11,8 @@ from redactstream.functions import spans
 from redactstream.functions.rules import Detector, detect_declared, detect_rules
 from redactstream.functions.identity import poison_id
 from redactstream.operators.envelope import envelopes
-from redactstream.operators.model import Predictor, PythonDetector, detect_model, detect_python
+from redactstream.operators.model import Predictor, PythonDetector, all_of, detect_model, detect_python
+from redactstream.operators.pushdown import Conditions, apply_known, apply_rest, conditions
 from redactstream.schema import (
     CLEAN_TOPIC,
     FINDINGS,
@@ -210,14 +213,26 @@ def decide(
     predictor: Predictor | None = None,
     extra_detectors: dict[str, Detector] | None = None,
     processing_time: Column | None = None,
-    python_detector: PythonDetector | None = None,
+    python_detector: PythonDetector | Sequence[PythonDetector] | None = None,
+    where: Conditions = None,
 ) -> DataFrame:
     """The whole per-record decision: one wide row per raw record.
 
     A detector or model that fails on a record turns that record into a failure; it
     never reaches the clean output.
+
+    `where` keeps records: conditions on the raw columns are applied to the source, those on
+    the envelope before any detection, those on the outcome at the end.
     """
+    if python_detector is not None and not isinstance(python_detector, PythonDetector):
+        python_detector = all_of(*python_detector)
+    raw, late = apply_known(raw, conditions(where))
     out = envelopes(raw, processing_time)
+    early = ["event_ts", "schema_version"]
+    if python_detector is None and predictor is None:
+        # Otherwise a failing detector may still change these.
+        early += ["message_id", "failure_class", "failure_detail"]
+    out, late = apply_known(out, late, early)
     out = dispatch_fields(out, policy, predictor, extra_detectors, python_detector)
     if predictor is None:
         out = out.withColumn("model_ms", F.lit(0.0))
@@ -243,7 +258,7 @@ def decide(
             "max_tier": max_tier(F.col("findings")),
         },
     )
-    return reencode_envelope(out).select(*OUTCOME_COLUMNS)
+    return apply_rest(reencode_envelope(out).select(*OUTCOME_COLUMNS), late)
 
 
 def routed(

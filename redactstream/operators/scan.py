@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from redactstream.functions import spans
 from redactstream.functions.rules import Detector, detect_rules
 from redactstream.operators.model import Predictor, detect_model
+from redactstream.operators.pushdown import Conditions, apply_known, apply_rest, conditions
 from redactstream.operators.routing import max_tier, route_action
 from redactstream.schema import FREE_TEXT_FIELDS
 
@@ -22,13 +23,17 @@ def scan(
     entity_types: Sequence[str] | None = None,
     predictor: Predictor | None = None,
     extra_detectors: dict[str, Detector] | None = None,
+    where: Conditions = None,
 ) -> DataFrame:
     """Adds findings, merged, redacted, counts, coverage and action to every row.
 
-    Rows are never reordered or joined: the model result arrives in the row itself. Texts
+    `where` keeps rows: conditions on the table's own columns are applied to the table, so
+    they reach its scan and only kept rows are searched; conditions on what is found here are
+    applied at the end. A name that the table has itself means the table's column. Rows are never reordered or joined: the model result arrives in the row itself. Texts
     of any length are scanned whole, so `truncated` is always false; a model with an input
     length reads overlapping windows (`BatchPredictor.max_chars`).
     """
+    df, late = apply_known(df, conditions(where))
     out = df.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
     out = out.withColumn("truncated", F.lit(False))
     out = out.withColumn(
@@ -59,7 +64,8 @@ def scan(
     )
     share = F.try_divide(F.col("masked_chars"), F.col("identifying_chars"))
     out = out.withColumn("coverage", F.coalesce(share, F.lit(0.0)))
-    return out.withColumn("scanned", F.col("_text")).drop("_text", "_free", "model_findings")
+    out = out.withColumn("scanned", F.col("_text")).drop("_text", "_free", "model_findings")
+    return apply_rest(out, late)
 
 
 def without_text(scanned: DataFrame, text: str) -> DataFrame:

@@ -386,6 +386,39 @@ def scan_batch(spark, sf_dir):
     )
 
 
+@query(
+    "scan_where",
+    with_emails(
+        r"""
+        SELECT d.doc_id, n::int AS n_findings FROM documents d
+        JOIN (SELECT doc_id, count(*) AS n FROM emails GROUP BY doc_id) x ON d.doc_id = x.doc_id WHERE lang = 'en'
+        """
+    ),
+)
+def scan_where(spark, sf_dir):
+    """English documents with something to hide: the language reaches the scan, the action waits."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = sc.scan(docs, "text", field="text", where=["lang = 'en'", "action = 'redacted'"])
+    return out.select("doc_id", F.size("findings").alias("n_findings"))
+
+
+@query(
+    "decide_where",
+    with_trail(
+        """
+        SELECT k, message_id, action FROM m
+        WHERE source_topic = 'txn.raw' AND event_ts >= TIMESTAMP '1996-01-01' AND action = 'quarantined'
+        """
+    ),
+)
+def decide_where(spark, sf_dir):
+    """Held records of one topic and time: filters before parsing, before detection and after it."""
+    where = ["topic = 'txn.raw'", "event_ts >= TIMESTAMP '1996-01-01'", "action = 'quarantined'"]
+    now = F.to_timestamp(F.lit(FIXED_NOW))
+    out = rt.decide(raw_messages(spark, sf_dir), predictor=PREDICTOR, processing_time=now, where=where)
+    return out.select(F.col("offset").alias("k"), "message_id", "action")
+
+
 @query(
     "scan_conversations",
     r"""
