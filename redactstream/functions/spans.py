@@ -224,15 +224,36 @@ def by_position(found: Column, with_end: bool = True) -> Column:
 
 
 def combine(rules: Column, model: Column) -> Column:
-    """Rule findings, plus model findings that no single rule span fully contains."""
+    """Rule findings, plus model findings that no single rule span fully contains.
 
-    def outside(f: Column) -> Column:
-        return ~F.exists(
-            rules,
-            lambda r: (r["span_start"] <= f["span_start"]) & (f["span_end"] <= r["span_end"]),
+    A model span lies inside some rule span exactly when the furthest end among the rule spans
+    that start no later reaches its own end: one running maximum over both in order of start.
+    """
+
+    def event(f: Column, is_model: int, i: Column) -> Column:
+        return F.struct(
+            f["span_start"].alias("s"), F.lit(is_model).alias("model"), i.alias("i"), f["span_end"].alias("e")
         )
 
-    return F.concat(rules, F.filter(model, outside))
+    def reaches(events: Column) -> Column:
+        ends = F.transform(events, lambda x: F.when(x["model"] == 0, x["e"]).otherwise(-1))
+
+        def per_model(reach: Column) -> Column:
+            own = F.transform(
+                events, lambda x, k: F.when(x["model"] == 1, F.struct(x["i"].alias("i"), F.get(reach, k).alias("reach")))
+            )
+            return F.array_sort(F.filter(own, lambda x: x.isNotNull()))
+
+        return let(running_max(ends), per_model)
+
+    def outside() -> Column:
+        first = F.transform(rules, lambda f: event(f, 0, F.lit(0)))
+        events = F.array_sort(F.concat(first, F.transform(model, lambda f, i: event(f, 1, i))))
+        reach = let(events, reaches)
+        return let(reach, lambda r: F.filter(model, lambda f, i: F.get(r, i)["reach"] < f["span_end"]))
+
+    both = (F.size(rules) > 0) & (F.size(model) > 0)
+    return F.concat(rules, F.when(both, outside()).otherwise(model))
 
 
 def merge_spans(found: Column) -> Column:

@@ -9,7 +9,7 @@ arithmetic: what is in A but not in B is cover(A and B together) minus cover(B).
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -71,6 +71,75 @@ def covered(
     return total.join(text, keys).select(*keys, *groups, *[ident(n) for n in groups])
 
 
+def swept(
+    spans: DataFrame,
+    cases: DataFrame,
+    keys: Sequence[str],
+    groups: Mapping[str, Column],
+    *,
+    clip: tuple[str, str] | None = None,
+    text: str | None = None,
+    also: Mapping[str, tuple[Column, Callable[[str], Column] | None]] | None = None,
+    flags: Mapping[str, Column] | None = None,
+) -> DataFrame:
+    """One sweep over spans and cases: each case with what the spans of its key cover.
+
+    `spans` has keys, s, e and the columns that conditions use; `cases` has one row per key.
+    Spans that share a start become one row, the cases join them in a union, and one exchange
+    on the key serves the running maximum, the sums and the way back to the case: no joins.
+
+    `groups` names subsets of spans; `clip` names case columns that spans are cut to. With
+    `text`, a case column, each subset also gets `<name>_ident`, its identifying characters.
+    `also` gives (aggregate over spans, aggregate over its results) per name. `flags` are
+    conditions on s, `_reach` (the furthest end at s), `_ends` (all ends at s), `_lo` and `_hi`
+    (the clip) that hold for at least one start. Keys without a case are left out.
+    """
+    keys, also, flags = list(keys), dict(also or {}), dict(flags or {})
+    whole = F.col("e") > F.col("s")
+    partial = [F.max(F.when(whole & cond, F.col("e"))).alias(f"_in_{n}") for n, cond in groups.items()]
+    partial += [first.alias(n) for n, (first, _) in also.items()]
+    if flags:
+        partial += [F.max("e").alias("_reach"), F.collect_set("e").alias("_ends")]
+    starts = spans.groupBy(*keys, "s").agg(*partial)
+    named = [c for c in cases.columns if c not in keys]
+    bounds = [F.col(c).alias(b) for b, c in zip(("_lo", "_hi"), clip or ())]
+    carried = cases.select(*keys, F.struct(*(F.col(c) for c in named)).alias("_case"), *bounds)
+    both = starts.unionByName(carried, allowMissingColumns=True)
+    # The case stands first, then its spans by start.
+    order = Window.partitionBy(*keys).orderBy(F.col("_case").isNull(), "s")
+    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    for b in ("_lo", "_hi") if clip else ():
+        both = both.withColumn(b, F.first(b, ignorenulls=True).over(upto))
+
+    def cut(end: Column, bound: str, pick) -> Column:
+        return F.when(end.isNotNull(), pick(end, F.col(bound))) if clip else end
+
+    both = both.withColumns({f"_in_{n}": cut(F.col(f"_in_{n}"), "_hi", F.least) for n in groups})
+    start = cut(F.col("s"), "_lo", F.greatest)
+    both = both.withColumns(
+        {f"_from_{n}": F.greatest(start, F.coalesce(F.max(f"_in_{n}").over(before), start)) for n in groups}
+    )
+    sums = [F.first("_case", ignorenulls=True).alias("_case")]
+    for n in groups:
+        length = F.greatest(F.lit(0), F.col(f"_in_{n}") - F.col(f"_from_{n}"))
+        length = F.when(F.col(f"_in_{n}").isNotNull(), length)
+        sums.append(F.coalesce(F.sum(length), F.lit(0)).alias(n))
+        if text is not None:
+            piece = F.when(length > 0, F.struct(F.col(f"_from_{n}").alias("at"), length.alias("n")))
+            sums.append(F.collect_list(piece).alias(f"_pieces_{n}"))
+    sums += [last(n).alias(n) for n, (_, last) in also.items()]
+    sums += [F.coalesce(F.max(cond), F.lit(False)).alias(n) for n, cond in flags.items()]
+    out = both.groupBy(*keys).agg(*sums).where(F.col("_case").isNotNull())
+
+    def ident(name: str) -> Column:
+        cuts = F.transform(f"_pieces_{name}", lambda p: F.substring(F.col(f"_case.{text}"), p["at"] + 1, p["n"]))
+        return identifying_chars(F.array_join(cuts, "")).alias(f"{name}_ident")
+
+    found = [*groups, *([ident(n) for n in groups] if text is not None else []), *also, *flags]
+    return out.select(*keys, *[F.col(f"_case.{c}").alias(c) for c in named], *found)
+
+
 def clip_to_gold(gold: DataFrame, pred: DataFrame, key: str) -> DataFrame:
     """Predictions that overlap their case's gold span, cut to it. One gold per case."""
     joined = pred.join(gold.select(key, "gold_start", "gold_end"), key)
@@ -88,28 +157,27 @@ def clip_to_gold(gold: DataFrame, pred: DataFrame, key: str) -> DataFrame:
 
 def evaluate(gold: DataFrame, pred: DataFrame, key: str = "k") -> DataFrame:
     """Per case: coverage of the gold span, exact hit, any hit, predictions made."""
-    counts = pred.groupBy(key).agg(F.count("*").alias("n_pred"))
-    hits = clip_to_gold(gold, pred, key)
-    exact = (F.col("span_start") == F.col("gold_start")) & (F.col("span_end") == F.col("gold_end"))
-    flags = hits.groupBy(key).agg(F.max(exact).alias("exact"))
-    cover = covered(hits, [key], {"chars": F.lit(True)})
-    length = F.col("gold_end") - F.col("gold_start")
-    return (
-        gold.join(counts, key, "left")
-        .join(flags, key, "left")
-        .join(cover, key, "left")
-        .withColumns(
-            {
-                "n_pred": F.coalesce("n_pred", F.lit(0)),
-                "hit": F.col("exact").isNotNull().cast("int"),
-                "exact": F.coalesce(F.col("exact").cast("int"), F.lit(0)),
-                "coverage": F.coalesce(
-                    F.try_divide(F.coalesce("chars", F.lit(0)), length), F.lit(0.0)
-                ),
-            }
-        )
-        .drop("chars")
+    out = swept(
+        pred.select(key, F.col("span_start").alias("s"), F.col("span_end").alias("e")),
+        gold,
+        [key],
+        {"chars": F.lit(True)},
+        clip=("gold_start", "gold_end"),
+        also={"n_pred": (F.count("*"), F.sum)},
+        flags={
+            "exact": (F.col("s") == F.col("_lo")) & F.array_contains("_ends", F.col("_hi")),
+            "hit": (F.col("s") < F.col("_hi")) & (F.col("_reach") > F.col("_lo")),
+        },
     )
+    length = F.col("gold_end") - F.col("gold_start")
+    return out.withColumns(
+        {
+            "n_pred": F.coalesce("n_pred", F.lit(0)),
+            "hit": F.col("hit").cast("int"),
+            "exact": F.col("exact").cast("int"),
+            "coverage": F.coalesce(F.try_divide("chars", length), F.lit(0.0)),
+        }
+    ).drop("chars")
 
 
 def case_metrics() -> list[Column]:
@@ -204,17 +272,14 @@ def span_measures(cases: DataFrame, gold: DataFrame, pred: DataFrame, key: str =
         key, F.col("gold_start").alias("s"), F.col("gold_end").alias("e"), F.lit("G").alias("src"),
         F.lit("").alias("entity_type"),
     ).unionByName(
-        pred.join(cases.select(key, "n_chars"), key).select(
-            key,
-            F.greatest("span_start", F.lit(0)).alias("s"),
-            F.least("span_end", F.col("n_chars")).alias("e"),
-            F.lit("P").alias("src"),
-            "entity_type",
+        pred.select(
+            key, F.col("span_start").alias("s"), F.col("span_end").alias("e"), F.lit("P").alias("src"), "entity_type"
         )
     )
     is_pred = F.col("src") == "P"
-    cover = covered(
+    rows = swept(
         tagged,
+        cases.withColumn("_zero", F.lit(0)),
         [key],
         {
             "gold": ~is_pred,
@@ -224,9 +289,7 @@ def span_measures(cases: DataFrame, gold: DataFrame, pred: DataFrame, key: str =
             "address": is_pred & (F.col("entity_type") == "ADDRESS"),
             "named": is_pred & F.col("entity_type").isin("PERSON_NAME", "ADDRESS"),
         },
-    )
-    rows = cases.join(cover, key, "left").na.fill(
-        0, ["gold", "masked", "either", "person", "address", "named"]
+        clip=("_zero", "n_chars"),
     )
 
     def ratio(num: Column, den: str) -> Column:
@@ -357,12 +420,23 @@ def arm_comparison(cases: DataFrame, arms: DataFrame, intended: DataFrame, key:
 
     `arms` has arm, key, s, e. Intended spans are attached to each arm's own texts.
     """
-    fired_on = arms.select("arm", key).distinct()
-    wanted = fired_on.join(intended, key).select("arm", key, "s", "e", F.lit(True).alias("ok"))
-    both = arms.select("arm", key, "s", "e", F.lit(False).alias("ok")).unionByName(wanted)
-    cover = covered(both, ["arm", key], {"masked": ~F.col("ok"), "either": F.lit(True), "meant": F.col("ok")})
-    texts = cases.agg(F.count("*")).scalar()
-    chars = cases.agg(F.sum("n_chars")).scalar()
+    wanted = intended.select(F.lit(None).cast("string").alias("arm"), key, "s", "e", F.lit(True).alias("_ok"))
+    spans = arms.select("arm", key, "s", "e", F.lit(False).alias("_ok")).unionByName(wanted)
+    spans = spans.where((F.col("e") > F.col("s")) & (F.col("arm").isNotNull() | F.col("_ok")))
+    starts = spans.groupBy("arm", key, "s").agg(F.max("e").alias("e"))
+    # Once dealt by text, its intended spans meet the arms that fired there without a join.
+    here = F.collect_set("arm").over(Window.partitionBy(key))
+    dealt = starts.withColumn("ok", F.col("arm").isNull()).withColumn("_arms", here)
+    both = dealt.select(F.explode(F.when(F.col("ok"), F.col("_arms")).otherwise(F.array("arm"))).alias("arm"), key, "s", "e", "ok")
+    groups = {"masked": ~F.col("ok"), "either": F.lit(True), "meant": F.col("ok")}
+    before = Window.partitionBy(key, "arm").orderBy("s", "ok").rowsBetween(Window.unboundedPreceding, -1)
+    ends = both.withColumns({f"_{n}": F.when(c, F.col("e")) for n, c in groups.items()})
+    new = {n: F.col(f"_{n}") - F.greatest(F.col("s"), F.coalesce(F.max(f"_{n}").over(before), F.col("s"))) for n in groups}
+    cover = ends.withColumns(new).groupBy(key, "arm").agg(
+        *[F.coalesce(F.sum(F.greatest(F.lit(0), F.when(F.col(f"_{n}").isNotNull(), F.col(n)))), F.lit(0)).alias(n) for n in groups]
+    )
+    total = cases.agg(F.struct(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))).scalar()
+    texts, chars = total["n"], total["chars"]
     per_arm = cover.groupBy("arm").agg(
         F.count("*").alias("fired"),
         F.sum("masked").alias("masked"),
@@ -471,45 +545,49 @@ def band_of(score: Column) -> Column:
     return out
 
 
-def _touches_gold(pred: DataFrame, gold: DataFrame, text: DataFrame, key: str) -> DataFrame:
-    """Predictions with `correct`: does the span hold an identifying gold character?
-
-    Gold spans of one text are first merged to disjoint islands. A prediction meets some
-    island exactly when the last island starting before its end reaches into it; that
-    island is found by a running maximum over both, so no pairs are made. Pieces of a
-    span outside letters and digits do not count, hence the identifying check on the
-    stretch that is shared.
-    """
+def identifying_runs(gold: DataFrame, text: DataFrame, key: str = "k") -> DataFrame:
+    """Per key the stretches (s, e) of letters and digits inside the union of gold spans."""
+    from redactstream.functions.spans import find_spans, once
     from redactstream.operators.scan import merge_spans_rel
 
     islands = merge_spans_rel(
         gold.withColumn("_kind", F.lit("g")), [key], "gold_start", "gold_end", "_kind"
-    ).select(key, F.col("s").alias("gs"), F.col("e").alias("ge"))
-    nested = islands.groupBy(key).agg(F.collect_list(F.struct("gs", "ge")).alias("islands"))
-    shared = F.transform(
-        F.filter(
-            F.coalesce("islands", F.array().cast("array<struct<gs:int,ge:int>>")),
-            lambda g: (g["gs"] < F.col("span_end")) & (F.col("span_start") < g["ge"]),
-        ),
-        lambda g: F.substring(
-            F.col("text"),
-            F.greatest(g["gs"], F.col("span_start")) + 1,
-            F.least(g["ge"], F.col("span_end")) - F.greatest(g["gs"], F.col("span_start")),
-        ),
-    )
-    return (
-        pred.join(text, key)
-        .join(nested, key, "left")
-        .withColumn("correct", (identifying_chars(F.array_join(shared, "")) > 0).cast("int"))
-        .drop("text", "islands")
-    )
+    ).where(F.col("e") > F.col("s"))
+    # The text joins once per key; islands are disjoint, so they hold it at most once.
+    nested = islands.groupBy(key).agg(F.collect_list(F.struct("s", "e")).alias("_islands"))
+
+    def runs(g: Column) -> Column:
+        inside = F.substring(F.col("text"), g["s"] + 1, g["e"] - g["s"])
+        found = find_spans(inside, r"[\p{L}\p{N}]+")
+        return F.transform(found, lambda h: F.struct((g["s"] + h["s"]).alias("s"), (g["s"] + h["e"]).alias("e")))
+
+    found = nested.join(text.select(key, "text"), key)
+    found = found.select(key, once(F.flatten(F.transform("_islands", runs))).alias("_runs"))
+    return found.select(key, F.explode("_runs").alias("r")).select(key, "r.s", "r.e")
 
 
 def precision_by_band(pred: DataFrame, gold: DataFrame, text: DataFrame, key: str = "k") -> DataFrame:
-    scored = _touches_gold(pred, gold, text, key)
-    return scored.groupBy(band_of(F.col("score")).alias("band")).agg(
-        F.count("*").alias("n"), F.avg("correct").alias("precision")
-    )
+    """Per score band: predictions, and the share that holds an identifying gold character.
+
+    A prediction holds one exactly when the furthest end among the identifying runs that start
+    before its own end lies behind its start: a running maximum over both, no pairs. Equal
+    predictions of a band are counted before they are dealt by text.
+    """
+    spans = pred.groupBy(key, "span_start", "span_end", band_of(F.col("score")).alias("band")).agg(F.count("*").alias("n"))
+    asked = spans.select(
+        key, F.col("span_end").alias("at"), F.lit(0).alias("is_run"), F.lit(None).cast("int").alias("e"), "span_start", "band", "n"
+    )
+    none = F.lit(None)
+    known = identifying_runs(gold, text, key).select(
+        key, F.col("s").alias("at"), F.lit(1).alias("is_run"), "e",
+        none.cast("int").alias("span_start"), none.cast("string").alias("band"), none.cast("long").alias("n"),
+    )
+    # At one place predictions come first: a run that starts where a prediction ends is outside.
+    before = Window.partitionBy(key).orderBy("at", "is_run").rowsBetween(Window.unboundedPreceding, -1)
+    met = asked.unionByName(known).withColumn("_reach", F.max("e").over(before)).where("is_run = 0")
+    correct = (F.col("_reach") > F.col("span_start")) & (F.col("at") > F.col("span_start"))
+    hits = F.sum(F.when(F.coalesce(correct, F.lit(False)), F.col("n")).otherwise(0))
+    return met.groupBy("band").agg(F.sum("n").alias("n"), F.try_divide(hits, F.sum("n")).alias("precision"))
 
 
 def leaks(
@@ -517,28 +595,29 @@ def leaks(
 ) -> DataFrame:
     """Per text: identifying gold characters that neither tier masks, and the model's scores."""
     def part(df: DataFrame, s: str, e: str, src: str) -> DataFrame:
-        return df.select(key, F.col(s).alias("s"), F.col(e).alias("e"), F.lit(src).alias("src"))
+        score = F.col("score") if src == "M" else F.lit(None)
+        return df.select(
+            key, F.col(s).alias("s"), F.col(e).alias("e"), F.lit(src).alias("src"), score.cast("double").alias("score")
+        )
 
     spans = (
         part(gold, "gold_start", "gold_end", "G")
         .unionByName(part(model, "span_start", "span_end", "M"))
         .unionByName(part(rules, "span_start", "span_end", "R"))
     )
-    cover = covered(
-        spans, [key], {"all3": F.lit(True), "masked": F.col("src") != "G"}, texts.select(key, "text")
-    )
-    scores = model.groupBy(key).agg(F.min("score").alias("min_score"), F.count("*").alias("n_spans"))
-    return (
-        texts.select(key)
-        .join(cover, key, "left")
-        .join(scores, key, "left")
-        .select(
-            key,
-            F.coalesce(F.col("all3_ident") - F.col("masked_ident"), F.lit(0)).alias("leaked"),
-            "min_score",
-            F.coalesce("n_spans", F.lit(0)).alias("n_spans"),
-        )
+    out = swept(
+        spans,
+        texts.select(key, "text"),
+        [key],
+        {"all3": F.lit(True), "masked": F.col("src") != "G"},
+        text="text",
+        also={
+            "min_score": (F.min("score"), F.min),
+            "n_spans": (F.count_if(F.col("src") == "M"), F.sum),
+        },
     )
+    leaked = (F.col("all3_ident") - F.col("masked_ident")).alias("leaked")
+    return out.select(key, leaked, "min_score", F.coalesce("n_spans", F.lit(0)).alias("n_spans"))
 
 
 def leak_rate(leak_rows: DataFrame) -> DataFrame:
