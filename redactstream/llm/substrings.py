@@ -299,8 +299,9 @@ def without_repeats(
         raise ValueError(f"seed must be 1 to {min(width, len(PLACES))}")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     doc_id = F.col("doc_id").cast("long")
-    # Names a row by what it is; equal rows share their places.
-    row_key = F.unhex(F.sha2(F.concat(F.coalesce(doc_id.cast("string"), F.lit("-")), F.lit(":"), text), 256))
+    # Names a row by what it is, in 128 bits of its SHA-256; equal rows share their places.
+    row_key = F.sha2(F.concat(F.coalesce(doc_id.cast("string"), F.lit("-")), F.lit(":"), text), 256)
+    row_key = F.unhex(F.substring(row_key, 1, 32))
     rows = docs.select(doc_id.alias("doc_id"), text.alias("text"), row_key.alias("row_key"))
     runs = repeated_windows(rows, width, seed, hot)
     at = runs.groupBy("row_key").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
