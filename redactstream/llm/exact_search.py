@@ -41,29 +41,53 @@ class Node:
         self.center, self.radius, self.points, self.children = center, radius, points, None
 
 
+def near_groups(x, points, radius: float, batch: int = LEAF) -> list:
+    """Cover the points by balls of that radius around some of them, centers further apart than it.
+
+    Candidates are tried by the batch, with one matrix product for all distances to it: a batch
+    removes at least its own points, so the cost is at most that of one product of all with all.
+    """
+    groups, rest = [], points
+    square = (x[points] ** 2).sum(axis=1)
+    while len(rest):
+        tried = rest[:batch]
+        apart = square[:, None] + square[None, : len(tried)] - 2 * (x[rest] @ x[tried].T)
+        near = apart <= radius * radius
+        free = np.ones(len(rest), bool)
+        for j in range(len(tried)):
+            if free[j]:
+                mine = near[:, j] & free
+                mine[j] = True
+                free &= ~mine
+                groups.append((x[tried[j]], rest[mine]))
+        rest, square = rest[free], square[free]
+    return groups
+
+
 def cover_tree(x, points=None, center=None, leaf: int = LEAF) -> Node:
-    """Cover tree of rows of x. Equal points form one leaf of radius 0, however many."""
-    stack_limit = np.arange(len(x)) if points is None else points
-    points = stack_limit
+    """Cover tree of rows of x. Equal points form one leaf of radius 0, however many.
+
+    Points that are alone at a level share nodes, sorted along the line on which they spread, so
+    such a node has the radius its points ask for.
+    """
+    points = np.arange(len(x)) if points is None else points
     c = x[points[0]] if center is None else center
     dist = np.sqrt(((x[points] - c) ** 2).sum(axis=1))
     node = Node(c, float(dist.max()) if len(points) else 0.0, points)
     if len(points) <= leaf or node.radius == 0:
         return node
-    half, rest, from_center, groups = node.radius / 2, points, dist, []
-    while len(rest):
-        # The point farthest from the center that no child covers yet, the center itself first.
-        pick = rest[np.argmin(from_center)] if not groups else rest[np.argmax(from_center)]
-        near = np.sqrt(((x[rest] - x[pick]) ** 2).sum(axis=1)) <= half
-        groups.append((x[pick], rest[near]))
-        rest, from_center = rest[~near], from_center[~near]
-    singles = [g for _, g in groups if len(g) == 1]
+    groups = near_groups(x, points[np.argsort(dist, kind="stable")], node.radius / 2)
     node.children = [cover_tree(x, g, p, leaf) for p, g in groups if len(g) > 1]
-    # Points that are alone at this level are tested together.
-    for k in range(0, len(singles), leaf):
-        part = np.concatenate(singles[k : k + leaf])
-        mean = x[part].mean(axis=0)
-        node.children.append(Node(mean, float(np.sqrt(((x[part] - mean) ** 2).sum(axis=1)).max()), part))
+    alone = [g for _, g in groups if len(g) == 1]
+    if alone:
+        alone = np.concatenate(alone)
+        off = x[alone] - x[alone].mean(axis=0)
+        line = off[(off**2).sum(axis=1).argmax()]
+        alone = alone[np.argsort(off @ line, kind="stable")]
+        for k in range(0, len(alone), leaf):
+            part = alone[k : k + leaf]
+            mean = x[part].mean(axis=0)
+            node.children.append(Node(mean, float(np.sqrt(((x[part] - mean) ** 2).sum(axis=1)).max()), part))
     node.centers = np.stack([n.center for n in node.children])
     node.radii = np.array([n.radius for n in node.children])
     node.norms = np.sqrt((node.centers**2).sum(axis=1))
@@ -147,7 +171,7 @@ def top_k(vectors: DataFrame, every: int = EVERY, k: int = K, scale: int = SCALE
 
     Scores are inner products of the quantised vectors, ties go to the smaller vec_id; a query
     with fewer candidates has fewer rows. Vectors are compared with those of their own length.
-    Rows without a vec_id take no part; rows that repeat a vec_id each are candidates, but never
+    Vectors without components score 0 among themselves. Rows without a vec_id take no part; rows that repeat a vec_id each are candidates, but never
     for that id, and as queries they count once. Without queries there are no rows.
     """
     rows = keep(usable_vectors(vectors, scale).withColumn("dim", F.size("v")), "vectors")
@@ -155,7 +179,7 @@ def top_k(vectors: DataFrame, every: int = EVERY, k: int = K, scale: int = SCALE
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
     by_dim: dict[int, tuple] = {}
     for dim in {r.dim for r in sample}:
-        x = np.array([r.v for r in sample if r.dim == dim], np.float64).reshape(-1, dim)
+        x = _matrix([r.v for r in sample if r.dim == dim], dim)
         ids = np.array([r.vec_id for r in sample if r.dim == dim])
         picked, far = [0], ((x - x[0]) ** 2).sum(axis=1)
         while len(picked) < min(PIVOTS, len(x)) and far.max() > 0:
