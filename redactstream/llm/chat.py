@@ -6,9 +6,10 @@ A conversation is written turn by turn as `<|im_start|>role`, a line end, the te
 escaped ones are restored.
 A control string in a role or text is escaped by a tilde behind its `<`; one with tildes gets
 one more, so restoring takes one away. Each turn is rendered as it is and parsed back; only
-turns that do not come back the same are escaped, after which they do: an escaped text holds
-no control string, and a control string begins with its only `<`, so none can arise where
-text and template meet. A line end inside a role is written `<|nl|>`.
+turns that do not come back the same are escaped, rendered and parsed once more. One that still
+differed would end the job, but none can: an escaped text holds no control string, and a control
+string begins with its only `<`, so none arises where text and template meet. A line end inside
+a role is written `<|nl|>`.
 """
 
 from __future__ import annotations
@@ -83,15 +84,16 @@ def format_conversations(turns: DataFrame, loss_role: str = "assistant") -> Data
     )
     source = F.array(F.struct(F.col("role").alias("role"), F.col("text").alias("text")))
     same = parse_turns(render_turn(F.col("role"), F.col("text"))).eqNullSafe(source)
-    written = rows.select(
+    escaped = F.struct(write_role(F.col("role")).alias("role"), escape(F.col("text")).alias("text"))
+    asis = F.struct(F.col("role").alias("role"), F.col("text").alias("text"))
+    out = rows.withColumn("_same", same).withColumn("_out", F.when(F.col("_same"), asis).otherwise(escaped))
+    back = parse_turns(render_turn(F.col("_out.role"), F.col("_out.text"))).eqNullSafe(source)
+    text_out = F.when(F.col("_same") | back, F.col("_out.text")).otherwise(
+        F.raise_error(F.lit("a turn does not come back from its escaped form"))
+    )
+    written = out.select(
         "conv_id",
-        F.struct(
-            "turn",
-            "role",
-            "text",
-            F.when(same, F.col("role")).otherwise(write_role(F.col("role"))).alias("role_out"),
-            F.when(same, F.col("text")).otherwise(escape(F.col("text"))).alias("text_out"),
-        ).alias("t"),
+        F.struct("turn", "role", "text", F.col("_out.role").alias("role_out"), text_out.alias("text_out")).alias("t"),
     )
     grouped = written.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("t"))
     rendered = F.transform("t", lambda t: render_turn(t["role_out"], t["text_out"]))
@@ -106,25 +108,61 @@ def format_conversations(turns: DataFrame, loss_role: str = "assistant") -> Data
         )
 
     return grouped.select(
-        "conv_id", F.array_join(rendered, "").alias("formatted"), F.transform("t", runs).alias("runs")
+        "conv_id",
+        F.array_join(rendered, "").alias("formatted"),
+        F.transform("t", runs).alias("runs"),
+        F.sha2(spoken(F.col("t")), 256).alias("source_sha256"),
+    )
+
+
+def spoken(turns: Column) -> Column:
+    """Role and text of all turns, each on lines of its own."""
+    return F.array_join(F.transform(turns, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+
+
+def under_mask(formatted: Column, runs: Column) -> Column:
+    """The texts under the loss mask, restored; null where the runs do not fit the turns.
+
+    Each turn is cut by its own run, so the cost grows with the conversation and not its square.
+    """
+    parts = F.split(formatted, r"<\|im_end\|>\n")
+    turns = F.transform(F.slice(parts, 1, F.size(parts) - 1), lambda p: F.concat(p, F.lit(END + "\n")))
+    cut = F.zip_with(
+        turns,
+        runs,
+        lambda t, r: F.struct(
+            (F.length(t) == r["before"] + r["under"] + r["after"]).alias("fits"),
+            restore(F.substr(t, r["before"] + 1, r["under"])).alias("text"),
+        ),
     )
+    fits = (F.size(turns) == F.size(runs)) & F.forall(cut, lambda c: F.coalesce(c["fits"], F.lit(False)))
+    return F.when(fits, F.array_join(F.transform(cut, lambda c: c["text"]), ""))
+
 
+def chat_digest(formatted: DataFrame) -> DataFrame:
+    """What the formatted conversations say when parsed back, and what lies under their mask.
 
-def chat_digest(formatted: DataFrame, loss_role: str = "assistant") -> DataFrame:
-    """What the formatted conversations say when parsed back."""
-    parsed = formatted.select("conv_id", "formatted", parse_turns(F.col("formatted")).alias("turns"))
-    loss = F.transform(F.filter("turns", lambda t: t["role"] == loss_role), lambda t: t["text"])
+    A conversation that does not parse, differs from its source, or whose mask does not fit its
+    turns ends the job.
+    """
+    parsed = formatted.select(
+        "conv_id", "formatted", "source_sha256", parse_turns(F.col("formatted")).alias("turns"),
+        under_mask(F.col("formatted"), F.col("runs")).alias("loss"),
+    )
     flat = parsed.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
-        F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "").alias("said"),
-        F.array_join(loss, "").alias("loss"),
+        F.sha2(spoken(F.col("turns")), 256).alias("said"),
+        "source_sha256",
+        "loss",
         F.length("formatted").cast("long").alias("formatted_chars"),
     )
+    whole = F.col("said").eqNullSafe(F.col("source_sha256")) & F.col("loss").isNotNull()
+    broken = F.raise_error(F.concat(F.lit("conversation not recovered: "), F.coalesce(F.col("conv_id").cast("string"), F.lit("-"))))
     return flat.select(
         "conv_id",
         "n_turns",
-        F.sha2("said", 256).alias("turns_sha256"),
+        F.when(whole, F.col("said")).otherwise(broken).alias("turns_sha256"),
         F.length("loss").cast("long").alias("loss_chars"),
         F.sha2("loss", 256).alias("loss_sha256"),
         "formatted_chars",
