@@ -19,6 +19,7 @@ SHAPES = {
     "pk_phone_prefix": r"\+92|\b03[0-9]{2}",
 }
 SAMPLES_PER_LABEL = 12
+FAILING_SAMPLES = 15
 
 
 # --------------------------------------------------------------------------- #
@@ -185,8 +186,8 @@ def jaccard_groups(items: DataFrame, group: str, item: str, a: str, b: str) -> D
     )
 
 
-def checksum_audit(values: DataFrame) -> DataFrame:
-    """Per label: values, how many hold each property, the rate, from (label, value)."""
+def checksum_tests(values: DataFrame) -> DataFrame:
+    """(label, value) as (label, test, value, ok): one row for every property a label's values should have."""
     v = F.col("value")
     digits = F.regexp_replace(v, r"[^0-9]", "")
     code = F.upper(F.regexp_replace(v, " ", ""))
@@ -198,14 +199,33 @@ def checksum_audit(values: DataFrame) -> DataFrame:
             _test("nine_digits", F.length(digits) == 9), _test("aba_checksum", chk.aba_ok(digits))))
         .when(F.col("label") == "credit_debit_card", F.array(_test("luhn", chk.luhn_ok(digits))))
     )
+    return values.select("label", "value", F.explode(tests).alias("t")).select(
+        "label", F.col("t.name").alias("test"), "value", F.col("t.ok").alias("ok")
+    )
+
+
+def checksum_audit(values: DataFrame) -> DataFrame:
+    """Per label: values, how many hold each property, the rate, from (label, value)."""
     return (
-        values.select("label", F.explode(tests).alias("t"))
-        .groupBy("label", F.col("t.name").alias("test"))
-        .agg(F.count("*").alias("total"), F.count_if("t.ok").alias("passed"))
+        checksum_tests(values)
+        .groupBy("label", "test")
+        .agg(F.count("*").alias("total"), F.count_if("ok").alias("passed"))
         .withColumn("rate", F.try_divide("passed", "total"))
     )
 
 
+def checksum_failures(values: DataFrame, n: int = FAILING_SAMPLES) -> DataFrame:
+    """Up to n different failing values per label and test, the smallest first, with how often each occurs.
+
+    Equal values are counted map-side, and Spark keeps n a group before the shuffle, so a
+    property that almost nothing holds costs no more than one that almost everything does.
+    """
+    from redactstream.operators.stats import sample_per_group
+
+    failing = checksum_tests(values).where("NOT ok").groupBy("label", "test", "value").agg(F.count("*").alias("n"))
+    return sample_per_group(failing, ["label", "test"], n, ["value"])
+
+
 def _test(name: str, ok: Column) -> Column:
     return F.struct(F.lit(name).alias("name"), F.coalesce(ok, F.lit(False)).alias("ok"))
 

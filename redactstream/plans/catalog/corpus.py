@@ -247,19 +247,24 @@ def weak_sentences(spark, sf_dir):
     return co.weak_sentences(table(spark, sf_dir, "benchmark"), "item_id", "text", _words(spark, sf_dir), "lang")
 
 
-@query(
-    "checksum_audit",
-    with_labels(
-        r"""
+# Whether each value holds each property, by plain arithmetic on its characters.
+_TESTED = r"""
         , d AS (SELECT label, surface AS v FROM lab), t AS (
-        SELECT label, 'strict_shape' AS test, regexp_full_match(v, '[A-Z]{6}[A-Z0-9]{2}([A-Z0-9]{3})?') AS ok FROM d WHERE label = 'swift_bic'
-        UNION ALL SELECT label, 'length_8_or_11', length(v) IN (8, 11) FROM d WHERE label = 'swift_bic'
-        UNION ALL SELECT label, 'country_iso', substr(v, 5, 2) IN ('PK', 'US', 'DE', 'GB', 'FR') FROM d WHERE label = 'swift_bic'
-        UNION ALL SELECT label, 'nine_digits', length(v) = 9 FROM d WHERE label = 'bank_routing_number'
-        UNION ALL SELECT label, 'aba_checksum', (3 * (v[1]::int + v[4]::int + v[7]::int) + 7 * (v[2]::int + v[5]::int + v[8]::int) + v[3]::int + v[6]::int + v[9]::int) % 10 = 0
+        SELECT label, 'strict_shape' AS test, regexp_full_match(v, '[A-Z]{6}[A-Z0-9]{2}([A-Z0-9]{3})?') AS ok, v FROM d WHERE label = 'swift_bic'
+        UNION ALL SELECT label, 'length_8_or_11', length(v) IN (8, 11), v FROM d WHERE label = 'swift_bic'
+        UNION ALL SELECT label, 'country_iso', substr(v, 5, 2) IN ('PK', 'US', 'DE', 'GB', 'FR'), v FROM d WHERE label = 'swift_bic'
+        UNION ALL SELECT label, 'nine_digits', length(v) = 9, v FROM d WHERE label = 'bank_routing_number'
+        UNION ALL SELECT label, 'aba_checksum', (3 * (v[1]::int + v[4]::int + v[7]::int) + 7 * (v[2]::int + v[5]::int + v[8]::int) + v[3]::int + v[6]::int + v[9]::int) % 10 = 0, v
           FROM d WHERE label = 'bank_routing_number'
         UNION ALL SELECT label, 'luhn', list_sum(list_transform(range(1, 17), lambda i: CASE WHEN i % 2 = 0 THEN substr(v, i, 1)::int
-            WHEN substr(v, i, 1)::int > 4 THEN substr(v, i, 1)::int * 2 - 9 ELSE substr(v, i, 1)::int * 2 END)) % 10 = 0 FROM d WHERE label = 'credit_debit_card')
+            WHEN substr(v, i, 1)::int > 4 THEN substr(v, i, 1)::int * 2 - 9 ELSE substr(v, i, 1)::int * 2 END)) % 10 = 0, v FROM d WHERE label = 'credit_debit_card')
+"""
+
+
+@query(
+    "checksum_audit",
+    with_labels(
+        f"""{_TESTED}
         SELECT label, test, count(*) AS total, count(*) FILTER (ok) AS passed, round(count(*) FILTER (ok) / count(*), 6)::double AS rate FROM t GROUP BY ALL
         """
     ),
@@ -269,6 +274,21 @@ def checksum_audit(spark, sf_dir):
     return co.checksum_audit(values).withColumn("rate", r6("rate"))
 
 
+@query(
+    "checksum_failures",
+    with_labels(
+        f"""{_TESTED}
+        SELECT label, test, v AS value, count(*) AS n FROM t WHERE NOT ok GROUP BY label, test, v
+        QUALIFY row_number() OVER (PARTITION BY label, test ORDER BY v) <= 15
+        """
+    ),
+)
+def checksum_failures(spark, sf_dir):
+    """Samples of what fails, beside the rates."""
+    values = _labelled(spark, sf_dir).select("label", F.col("surface").alias("value"))
+    return co.checksum_failures(values).select("label", "test", "value", "n")
+
+
 @query(
     "length_histogram",
     with_labels(

@@ -596,8 +596,25 @@ def latency_share(spark, sf_dir):
     return mdl.latency_share(rows)
 
 
+@query(
+    "tier2_latency_facts",
+    with_txn(
+        """SELECT count(*) AS records, true AS measured, true AS consistent FROM txn WHERE k % 97 <> 0 AND k % 10 BETWEEN 4 AND 8"""
+    ),
+)
+def latency_facts(spark, sf_dir):
+    """What must hold of that measurement: who used the model, and that the figures fit together."""
+    found = latency_share(spark, sf_dir)
+    product = F.col("ms_per_record") * F.col("records")
+    return found.select(
+        "records",
+        (F.col("model_ms") > 0).alias("measured"),
+        (F.abs(product - F.col("model_ms")) <= 1e-9 * F.col("model_ms")).alias("consistent"),
+    )
+
+
 # --------------------------------------------------------------------------- #
-# Privacy invariants: each must return no rows
+# Privacy invariants: each must return no rows, but for planted ones
 # --------------------------------------------------------------------------- #
 @query(
     "clean_has_no_values",
@@ -605,26 +622,58 @@ def latency_share(spark, sf_dir):
 )
 def clean_has_no_values(spark, sf_dir):
     """Original values that survive in a redacted output record."""
-    out = decided(spark, sf_dir).where("action = 'redacted'").select(
-        F.col("offset").alias("k"), F.col("out_value").cast("string").alias("body")
-    )
-    values = txn(spark, sf_dir).selectExpr(
+    return _surviving(spark, sf_dir, F.col("out_value").cast("string"))
+
+
+@query(
+    "clean_values_planted",
+    with_trail("SELECT k, 'cnic' AS field FROM m WHERE action = 'redacted' AND k % 13 = 0"),
+)
+def clean_values_planted(spark, sf_dir):
+    """The same check where every thirteenth record is given its id card number back."""
+    body = F.col("out_value").cast("string")
+    return _surviving(spark, sf_dir, F.when(F.col("offset") % 13 == 0, F.concat(body, F.col("cnic"))).otherwise(body))
+
+
+def _surviving(spark, sf_dir, body):
+    out = decided(spark, sf_dir).where("action = 'redacted'").select(F.col("offset").alias("k"), "offset", "out_value")
+    rows = txn(spark, sf_dir).join(out, "k").withColumn("body", body)
+    values = rows.selectExpr(
         "k",
+        "body",
         "stack(6, 'account_holder', account_holder, 'cnic', cnic, 'iban_from', iban_from, 'iban_to', iban_to, "
         "'phone', phone, 'email', email) AS (field, value)",
     )
     # A declared name is masked whole; the record's own id and times are no values.
-    return values.join(out, "k").where(F.contains("body", F.col("value"))).select("k", "field")
+    return values.where(F.contains("body", F.col("value"))).select("k", "field")
 
 
 @query("spans_in_bounds", with_txn("SELECT k, message_id AS field FROM txn WHERE false"))
 def spans_in_bounds(spark, sf_dir):
     """Findings whose span is empty or leaves its text."""
+    return _out_of_bounds(_memo_scan(spark, sf_dir, predictor=PREDICTOR))
+
+
+@query(
+    "spans_out_of_bounds_planted",
+    with_txn("SELECT k, 'planted' AS field FROM txn WHERE k % 13 = 0 AND k % 3 <> 2"),
+)
+def spans_out_of_bounds_planted(spark, sf_dir):
+    """The same check where findings behind the end, empty ones and one good one are added."""
     out = _memo_scan(spark, sf_dir, predictor=PREDICTOR)
+    size = F.length("scanned")
+    start = F.when(F.col("k") % 3 == 0, size).when(F.col("k") % 3 == 1, F.lit(-1)).otherwise(F.lit(0))
+    end = F.when(F.col("k") % 3 == 2, F.greatest(size, F.lit(1))).otherwise(size + 1)
+    planted = F.array(spans.finding(F.lit("X"), F.lit("planted"), start, end, 1, F.lit(1.0)))
+    here = (F.col("k") % 13 == 0) & ((F.col("k") % 3 != 2) | (size > 0))
+    return _out_of_bounds(out.withColumn("findings", F.when(here, F.concat("findings", planted)).otherwise(F.col("findings"))))
+
+
+def _out_of_bounds(scanned):
     bad = F.filter(
         "findings",
         lambda f: (f["span_start"] < 0)
         | (f["span_start"] >= f["span_end"])
         | (f["span_end"] > F.length("scanned")),
     )
-    return out.select("k", F.explode(bad).alias("f")).select("k", "f.field")
+    return scanned.select("k", F.explode(bad).alias("f")).select("k", "f.field")
