@@ -6,17 +6,23 @@ the same length, whose estimate is unbiased and varies less. Bands of `rows` val
 into buckets: with 7 rows and 36 bands two sets of similarity 0.85 miss each other once in a
 million, and of similarity 0.5 meet once in four.
 
-1. Equal sets are one class; its smallest doc_id stands for it. Copies are never paired.
+1. Equal sets are one class; the text of its smallest doc_id stands for it. Copies are never paired.
+   Classes have numbers of their own, so unlike texts that share a doc_id stay apart.
 2. Class representatives in one bucket are linked to the bucket's smallest; the connected
    parts of these links are candidate clusters. Nothing is paired yet.
 3. The texts of a cluster are compared on their full shingle sets. A large cluster is cut into
    blocks, and each pair of blocks is one task, so no task grows with the cluster. Only a
    spanning forest of the links found leaves a task.
 4. The connected parts of those links, and of the classes, are the answer.
+
+Shingle hashes are made under a key that is drawn for each run, so no text can be written to pass
+for another. Rows of a class find it by a join; the classes that hold more than a thousandth of all
+rows, of which there are at most a thousand, are broadcast for it.
 """
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +40,10 @@ ROWS, BANDS = 7, 36
 SLICE = 1_000_000
 BLOCK_DOCS, BLOCK_WORDS = 512, 1_000_000
 CHUNK = 4096
+#: A class with more than one part in so many of all rows is hot; there are at most so many.
+HOT = 1000
+SAME = ["n_shingles", "set_a", "set_b"]
+MARKS = "doc_id long, text_key long, n_shingles long, set_a long, set_b long, bands array<long>"
 
 
 class MinMax:
@@ -80,13 +90,21 @@ def distinct_sets(words: Words, texts: list, width: int) -> list:
     return out
 
 
-def signatures(docs: DataFrame, width: int = WIDTH, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
-    """doc_id, n_shingles, set_a and set_b (which tell sets apart), and band keys; null for empty sets."""
+def named_texts(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and the text_key that tells apart the texts of one doc_id."""
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.xxhash64(text).alias("text_key"))
+
+
+def signatures(
+    docs: DataFrame, width: int = WIDTH, rows: int = ROWS, bands: int = BANDS, key: tuple[int, int] = (0, 0)
+) -> DataFrame:
+    """doc_id, text_key, n_shingles, set_a and set_b (which tell sets apart), and band keys, none for empty sets."""
 
     def run(batches) -> Iterator:
         import pyarrow as pa
 
-        words, minmax, keys = Words(), MinMax(rows * bands // 2), BandKeys(rows, bands)
+        words, minmax, keys = Words(key), MinMax(rows * bands // 2), BandKeys(rows, bands)
         for batch in batches:
             sets = distinct_sets(words, batch.column(1).to_pylist(), width)
             n = np.array([len(s) for s in sets], np.int64)
@@ -99,18 +117,16 @@ def signatures(docs: DataFrame, width: int = WIDTH, rows: int = ROWS, bands: int
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
+                    batch.column(2),
                     pa.array(n),
                     pa.array(a.view(np.int64)),
                     pa.array(b.view(np.int64)),
                     pa.ListArray.from_arrays(at, pa.array(flat, pa.int64())),
                 ],
-                ["doc_id", "n_shingles", "set_a", "set_b", "bands"],
+                ["doc_id", "text_key", "n_shingles", "set_a", "set_b", "bands"],
             )
 
-    source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return source.mapInArrow(
-        run, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"
-    )
+    return named_texts(docs).mapInArrow(run, MARKS)
 
 
 def similar(inter, n_a, n_b, percent: int):
@@ -165,26 +181,30 @@ def linked_pairs(sets: list, side: list, percent: int) -> Iterator[tuple[int, in
                 yield root, j
 
 
-def confirmed_links(docs: DataFrame, clusters: DataFrame, width: int, percent: int) -> DataFrame:
-    """(a, b) links that join every two similar documents of a cluster, by ids `doc_id`.
+def confirmed_links(
+    docs: DataFrame, clusters: DataFrame, width: int, percent: int, key: tuple[int, int] = (0, 0)
+) -> DataFrame:
+    """(a, b) links that join every two similar classes of a cluster, by class_id.
 
-    `clusters` has doc_id, cluster and n_shingles. Cluster sizes stay in tables; a cluster is cut
-    into as many blocks as its documents and shingles ask for.
+    `clusters` has class_id, cluster, n_shingles, and doc_id and text_key of a row with the class's text.
+    Cluster sizes stay in tables; a cluster is cut into as many blocks as its classes and shingles ask for.
     """
     size = clusters.groupBy("cluster").agg(F.count("*").alias("m"), F.sum("n_shingles").alias("w"))
     blocks = F.ceil(F.greatest(F.col("m") / BLOCK_DOCS, F.col("w") / BLOCK_WORDS)).cast("int")
     cut = clusters.join(size.where("m > 1").select("cluster", blocks.alias("g")), "cluster")
-    cut = cut.select("doc_id", "cluster", "g", F.pmod(F.xxhash64("doc_id"), "g").cast("int").alias("k"))
-    # Neither side has a size bound, so neither is broadcast at any scale.
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    texts = texts.join(cut.hint("merge"), "doc_id")
+    block = F.pmod(F.xxhash64("class_id"), "g").cast("int").alias("k")
+    cut = cut.select("doc_id", "text_key", "class_id", "cluster", "g", block)
+    # Neither side has a size bound, so neither is broadcast at any scale. A row that stands in the
+    # table twice is compared once.
+    face = ["doc_id", "text_key"]
+    texts = named_texts(docs).join(cut.hint("merge"), face).dropDuplicates(face)
     # Block k meets every block: once as first, once as second, and itself.
     tasks = texts.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("g") - 1))).select(
         "cluster",
         F.least("k", "j").alias("i"),
         F.greatest("k", "j").alias("j"),
         (F.col("k") > F.col("j")).alias("second"),
-        "doc_id",
+        "class_id",
         "text",
     )
     dealt = tasks.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
@@ -192,10 +212,9 @@ def confirmed_links(docs: DataFrame, clusters: DataFrame, width: int, percent: i
     def run(batches) -> Iterator:
         import pyarrow as pa
 
-        words = Words()
+        words = Words(key)
 
         def links(group):
-            # A document that stands in the table twice is compared once.
             rows = {d: (t, s) for d, t, s in group}
             ids = sorted(rows)
             sets = distinct_sets(words, [rows[d][0] for d in ids], width)
@@ -206,12 +225,12 @@ def confirmed_links(docs: DataFrame, clusters: DataFrame, width: int, percent: i
                 [pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"]
             )
 
-        key, group, found = None, [], []
+        task, group, found = None, [], []
         for batch in batches:
             for c, i, j, second, d, t in zip(*(batch.column(x).to_pylist() for x in range(6))):
-                if (c, i, j) != key:
+                if (c, i, j) != task:
                     found += links(group)
-                    key, group = (c, i, j), []
+                    task, group = (c, i, j), []
                 group.append((d, t, second))
             if len(found) > 10_000:
                 yield out(found)
@@ -221,55 +240,101 @@ def confirmed_links(docs: DataFrame, clusters: DataFrame, width: int, percent: i
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(
-    docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, rows: int = ROWS, bands: int = BANDS
+def groups(
+    docs: DataFrame,
+    width: int = WIDTH,
+    percent: int = PERCENT,
+    rows: int = ROWS,
+    bands: int = BANDS,
+    key: tuple[int, int] | None = None,
 ) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept.
+    """doc_id, text_key, n_shingles, component_id, face_key: the group of each row, and the text that stands for it.
 
-    Words are runs of characters other than ASCII white space, A-Z lower-cased; a text of fewer
-    words than a shingle is one shingle; a null text or one without words is an empty set and
-    linked with nothing. Sets are compared by 64-bit shingle hashes. A row without a doc_id is
-    linked with nothing, has no component and is kept. Rows that repeat a doc_id each come back.
-    An empty table gives no rows.
+    A group is its component_id, the smallest doc_id in it, with its face_key, the smallest text_key
+    among the texts of that doc_id in the group.
     """
-    marks = keep(signatures(docs, width, rows, bands), "marks")
+    key = key or (secrets.randbits(64), secrets.randbits(64))
+    marks = keep(signatures(docs, width, rows, bands, key), "marks")
     whole = marks.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    same = ["n_shingles", "set_a", "set_b"]
-    classes = whole.groupBy(*same).agg(F.min("doc_id").alias("rep"))
-    member = keep(
-        whole.join(classes, same).select(
-            "doc_id", "n_shingles", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("bands")).alias("bands")
+    counted = whole.groupBy(*SAME).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n_rows"))
+    # Numbers are given once, in a stored table.
+    numbered = keep(counted.withColumn("class_id", F.monotonically_increasing_id()), "numbers")
+    faces = keep(
+        whole.join(numbered.hint("merge"), ["doc_id", *SAME]).select(
+            "class_id", "n_rows", "doc_id", "text_key", *SAME, "bands"
+        ),
+        "faces",
+    )
+    classes = faces.groupBy("class_id", "n_rows", "doc_id", *SAME).agg(F.min("text_key").alias("text_key"))
+    # Where rows repeat, a class enters a bucket more than once, which links nothing to itself.
+    entry = faces.select(F.explode("bands").alias("key"), "class_id")
+    first = entry.groupBy("key").agg(F.min("class_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    star = entry.join(first.select("key", "first"), "key").where("class_id <> first")
+    parts = with_names(connected_components(star.select(F.col("class_id").alias("a"), F.col("first").alias("b"))))
+    sized = parts.withColumnRenamed("component", "cluster").join(
+        classes.select("class_id", "n_shingles", "doc_id", "text_key"), "class_id"
+    )
+    links = confirmed_links(docs, keep(sized, "clusters"), width, percent, key)
+    found = with_names(connected_components(links))
+    linked = found.join(classes.select("class_id", "doc_id", "text_key"), "class_id")
+    least = linked.groupBy("component").agg(F.min(F.struct("doc_id", "text_key")).alias("least"))
+    least = found.join(least, "component").select("class_id", "least")
+    face = F.coalesce("least", F.struct("doc_id", "text_key"))
+    settled = keep(
+        classes.join(least, "class_id", "left").select(
+            *SAME, "n_rows", face["doc_id"].alias("component_id"), face["text_key"].alias("face_key")
         ),
-        "members",
+        "classes",
     )
-    reps = member.where("doc_id = rep").select("doc_id", "n_shingles", "bands").dropDuplicates(["doc_id"])
-    entry = reps.select(F.explode("bands").alias("key"), "doc_id")
-    first = entry.groupBy("key").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    star = entry.join(first.select("key", "first"), "key").where("doc_id <> first")
-    parts = connected_components(star.select(F.col("doc_id").alias("a"), F.col("first").alias("b")))
-    # A cluster's smallest document names it and belongs to it.
-    cluster = parts.select(F.col("id").alias("doc_id"), F.col("component").alias("cluster")).unionAll(
-        parts.select(F.col("component").alias("doc_id"), F.col("component").alias("cluster")).distinct()
+    total = settled.agg(F.sum("n_rows")).scalar()
+    named = settled.withColumn("hot", F.col("n_rows") * HOT > total)
+    hot = F.broadcast(named.where("hot").drop("hot", "n_rows"))
+    rest = named.where("NOT hot").drop("hot", "n_rows")
+    member = whole.select("doc_id", "text_key", *SAME)
+    columns = ["doc_id", "text_key", "n_shingles", "component_id", "face_key"]
+    alone = marks.where("n_shingles = 0 OR doc_id IS NULL").select(
+        *columns[:3], F.col("doc_id").alias("component_id"), F.col("text_key").alias("face_key")
     )
-    sized = keep(cluster.join(reps.select("doc_id", "n_shingles"), "doc_id"), "clusters")
-    found = connected_components(confirmed_links(docs, sized, width, percent))
-    linked = found.select(F.col("id").alias("rep"), F.col("component").alias("component_id"))
-    named = member.select("doc_id", "n_shingles", "rep").join(linked, "rep", "left")
-    out = named.select(
-        "doc_id", "n_shingles", F.coalesce("component_id", "rep").alias("component_id")
-    ).unionAll(
-        marks.where("n_shingles = 0 OR doc_id IS NULL").select(
-            "doc_id", "n_shingles", F.col("doc_id").alias("component_id")
-        )
+    return (
+        member.join(hot, SAME).select(*columns)
+        .unionAll(member.join(hot, SAME, "left_anti").join(rest, SAME).select(*columns))
+        .unionAll(alone)
     )
+
+
+def with_names(parts: DataFrame) -> DataFrame:
+    """class_id and component of every vertex: a component's smallest names it and belongs to it."""
+    return parts.select(F.col("id").alias("class_id"), "component").unionAll(
+        parts.select(F.col("component").alias("class_id"), "component").distinct()
+    )
+
+
+def near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept.
+
+    Options are those of `groups`. Words are runs of characters other than ASCII white space, A-Z
+    lower-cased; a text of fewer words than a shingle is one shingle; a null text or one without words is
+    an empty set and linked with nothing. Sets are compared by 64-bit shingle hashes under a key that is
+    drawn for the run unless `key` is given. A row without a doc_id is linked with nothing, has no
+    component and is kept. Rows that repeat a doc_id each come back; unlike texts of one doc_id are not
+    linked by it. An empty table gives no rows.
+    """
+    out = groups(docs, **options).select("doc_id", "n_shingles", "component_id")
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def without_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """The documents that stand for their group; all columns, one row for each kept doc_id.
+    """The documents that stand for their group; all columns, one row for each group.
 
-    Rows without a doc_id all stay. Where rows repeat a doc_id, the first by text stays.
+    Rows without a doc_id all stay. Unlike texts of one doc_id are groups of their own, and each
+    stays where it stands for its group; of rows with one doc_id and text an arbitrary one stays.
     """
-    kept = near_duplicates(docs, **options).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    named = docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-    return named.join(kept, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    face = ["doc_id", "text_key"]
+    kept = groups(docs, **options).where("doc_id = component_id AND text_key = face_key").select(*face).distinct()
+    text_key = F.xxhash64(F.col("text").cast("string")).alias("text_key")
+    named = docs.where("doc_id IS NOT NULL").select(
+        F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_key
+    )
+    chosen = named.join(kept, face, "left_semi").dropDuplicates(face)
+    columns = [F.col("row")[c].alias(c) for c in docs.columns]
+    return chosen.select(*columns).unionByName(docs.where("doc_id IS NULL"))

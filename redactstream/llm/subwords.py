@@ -6,7 +6,8 @@ a chunk of plain letters, digits and signs they are those of the runs the tokeni
 rule makes. A task finds these words with array operations over the bytes of many texts,
 encodes each distinct word once with the tokenizers library and copies its ids to every
 place. Chunks with an apostrophe or any character beyond Latin-1 letters are one word here.
-Words are told apart by 64-bit hashes of their bytes.
+Words are looked up by 64-bit hashes and told apart by their bytes (beyond 16 bytes, by length and
+a cryptographic digest); a word that shares another's hash is encoded anew each time.
 """
 
 from __future__ import annotations
@@ -34,9 +35,9 @@ class Subwords:
         import numpy as np
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        from redactstream.llm.words import Powers, mix
+        from redactstream.llm.words import fold, word_keys
 
-        self.np, self.mix, self.powers = np, mix, Powers()
+        self.np, self.fold, self.word_keys = np, fold, word_keys
         self.tok = Tokenizer.from_file(path)
         vocab = self.tok.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
@@ -66,6 +67,8 @@ class Subwords:
     def _forget(self) -> None:
         np = self.np
         self.hashes = np.zeros(1, np.uint64)
+        # First and second number of the word's key, and its length with the kind.
+        self.keys = np.zeros((1, 3), np.uint64)
         self.sorted = np.zeros(1, np.uint64)
         self.order = np.zeros(1, np.int64)
         self.flat = np.zeros(0, np.uint32)
@@ -92,7 +95,7 @@ class Subwords:
             flats.append(np.fromiter((i for x in encoded for i in x), np.uint32))
         return np.concatenate(flats), np.concatenate(sizes)
 
-    def _learn(self, hashes, words: list[str], joined: bool) -> None:
+    def _learn(self, hashes, keys, words: list[str], joined: bool) -> None:
         np = self.np
         if not words:
             return
@@ -100,6 +103,7 @@ class Subwords:
         first = len(self.hashes)
         at = len(self.flat) + np.cumsum(size) - size
         self.hashes = np.concatenate([self.hashes, hashes])
+        self.keys = np.concatenate([self.keys, keys])
         self.at, self.size = np.concatenate([self.at, at]), np.concatenate([self.size, size])
         self.flat = np.concatenate([self.flat, ids])
         self.table[(hashes >> np.uint64(64 - TABLE_BITS)).astype(np.int64)] = np.arange(
@@ -108,6 +112,11 @@ class Subwords:
         self.order = np.argsort(self.hashes)
         self.sorted = self.hashes[self.order]
 
+    @staticmethod
+    def _words(data, begin, end) -> list[str]:
+        raw = data.tobytes()
+        return [raw[i:j].decode() for i, j in zip(begin.tolist(), end.tolist())]
+
     def _find(self, h):
         """Places of the hashes among the known words, -1 where unknown."""
         np = self.np
@@ -148,28 +157,38 @@ class Subwords:
         begin, end = edge[:-1], edge[1:]
         real = kind[begin] > 0
         begin, end = begin[real], end[real]
-        h = self.powers.spans(low, begin, end)
-        # A word of the same bytes and length is encoded alike only within its kind.
-        of_kind = (kind[begin] == 4) * np.uint64(0xD6E8FEB86659FD93)
-        h = self.mix(h + (end - begin).astype(np.uint64) * np.uint64(0xA0761D6478BD642F) + of_kind)
+        first, second = self.word_keys(low, begin, end)
+        # A word of the same bytes is encoded alike only within its kind.
+        sized = (end - begin).astype(np.uint64) * np.uint64(2) + (kind[begin] == 4)
+        h = self.fold(first, second, sized)
         place = self._find(h)
         if (place < 0).any():
             if len(self.hashes) > self.known_words:
                 self._forget()
                 place[:] = -1
             miss = np.flatnonzero(place < 0)
-            new, first = np.unique(h[miss], return_index=True)
-            first = miss[first]
-            whole = kind[begin[first]] == 4
-            low_bytes, b, e = low.tobytes(), begin[first].tolist(), end[first].tolist()
-            words = [low_bytes[i:j].decode() for i, j in zip(b, e)]
+            new, at = np.unique(h[miss], return_index=True)
+            at = miss[at]
+            whole, words = kind[begin[at]] == 4, self._words(low, begin[at], end[at])
+            keys = np.stack([first[at], second[at], sized[at]], axis=1)
             for joined, pick in ((True, np.flatnonzero(~whole)), (False, np.flatnonzero(whole))):
-                self._learn(new[pick], [words[i] for i in pick.tolist()], joined)
+                self._learn(new[pick], keys[pick], [words[i] for i in pick.tolist()], joined)
             place[miss] = self._find(h[miss])
-        size = self.size[place]
+        known_at, known_size, flat = self.at[place], self.size[place], self.flat
+        keys = self.keys[place]
+        other = np.flatnonzero((keys[:, 0] != first) | (keys[:, 1] != second) | (keys[:, 2] != sized))
+        if len(other):
+            whole, words = kind[begin[other]] == 4, self._words(low, begin[other], end[other])
+            for joined, pick in ((True, np.flatnonzero(~whole)), (False, np.flatnonzero(whole))):
+                if len(pick):
+                    ids, size = self._ids([words[i] for i in pick.tolist()], joined)
+                    known_at[other[pick]] = len(flat) + np.cumsum(size) - size
+                    known_size[other[pick]] = size
+                    flat = np.concatenate([flat, ids])
+        size = known_size
         stop = np.cumsum(size)
         total = int(stop[-1]) if len(stop) else 0
-        ids = self.flat[np.repeat(self.at[place] - (stop - size), size) + np.arange(total)]
+        ids = flat[np.repeat(known_at - (stop - size), size) + np.arange(total)]
         before = np.concatenate([[0], stop])
         return ids.astype("<u4"), before[np.searchsorted(begin, doc_at)]
 

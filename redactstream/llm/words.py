@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -39,6 +41,38 @@ class Powers:
         return (run[end] - run[begin]) * self.down[begin]
 
 
+#: What is left of 8 bytes of which so many belong to a span.
+KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], U)
+INLINE = 16
+
+
+def word_keys(data, begin, end):
+    """Two 64-bit numbers per byte span, which tell apart spans of one length.
+
+    Spans of up to 16 bytes are the numbers themselves; of longer ones they are a cryptographic
+    digest, as any sum over bytes can be made to collide on purpose.
+    """
+    size = end - begin
+    words = np.ndarray(len(data) + 9, "<u8", np.concatenate([data, np.zeros(INLINE, np.uint8)]), strides=(1,))
+    first = words[begin] & KEEP[np.minimum(size, 8)]
+    second = words[begin + 8] & KEEP[np.clip(size - 8, 0, 8)]
+    long = np.flatnonzero(size > INLINE)
+    if len(long):
+        raw = memoryview(data.tobytes())
+        digest = [
+            hashlib.blake2b(raw[i:j], digest_size=16).digest()
+            for i, j in zip(begin[long].tolist(), end[long].tolist())
+        ]
+        first[long], second[long] = np.frombuffer(b"".join(digest), "<u8").reshape(-1, 2).T
+    return first, second
+
+
+def fold(first, second, size, key: tuple[int, int] = (0, 0)):
+    """One 64-bit hash of a word key and its length, under a key of two numbers."""
+    h = mix(first ^ U(key[0])) + mix(second ^ U(key[1])) * U(0xA0761D6478BD642F)
+    return mix(h + size.astype(U) * U(0xD6E8FEB86659FD93))
+
+
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -46,10 +80,14 @@ LOWER[65:91] += 32
 
 
 class Words:
-    """Splits texts at ASCII white space, lower-cases A-Z and hashes each word to 64 bits."""
+    """Splits texts at ASCII white space, lower-cases A-Z and hashes each word to 64 bits.
 
-    def __init__(self):
-        self.powers = Powers()
+    Hashes agree between tasks that hold the same key. With a key drawn at random, no text can
+    be written so that different words or shingles share a hash.
+    """
+
+    def __init__(self, key: tuple[int, int] = (0, 0)):
+        self.key = key
 
     def split(self, texts: list):
         """Word hashes of all texts, and where each text's words start (one more entry ends them)."""
@@ -59,7 +97,7 @@ class Words:
         gap = SPACE[data]
         before = np.concatenate([[True], gap[:-1]])
         begin, end = np.flatnonzero(~gap & before), np.flatnonzero(gap & ~before)
-        return mix(self.powers.spans(LOWER[data], begin, end)), np.searchsorted(begin, at)
+        return fold(*word_keys(LOWER[data], begin, end), end - begin, self.key), np.searchsorted(begin, at)
 
 
 def shingle_hashes(h, at, width: int = 5):
