@@ -6,7 +6,8 @@ a part of an item is found too: PASSAGE characters of an item, copied as they ar
 window wherever they begin. Wide windows find longer parts with more edits. A pattern (item or window) that may hold k edits is split into k+1
 pieces: within k edits at least one piece stays untouched. One automaton finds all pieces of all
 patterns in one pass over the whole text; around the hits, Myers' bit-parallel distance says whether
-the pattern occurs within its budget. Short items are searched as they are, as whole words.
+the pattern occurs within its budget. Every item has the same budget, edits per character; one too short
+for an edit is searched as it is, as whole words.
 
 Documents are only mapped over. Test items go to every task in blocks of bounded size, one
 pass per block; a benchmark of any size is searched in full.
@@ -24,7 +25,6 @@ RATE = 0.06
 WINDOW, STRIDE = 128, 64
 #: The shortest part of an item that is found wherever it begins, and the stride of windows for it.
 PASSAGE, PASSAGE_STRIDE = 96, 33
-LEAST_CHARS = 24
 BLOCK_CHARS = 2_000_000
 WORD = re.compile(r"[^\W_]+")
 #: Thai to Tibetan, Burmese, Khmer, kana and Han: written without blanks, so a word may end anywhere.
@@ -69,6 +69,7 @@ class Pattern:
     """Myers' bit vectors of one item or window."""
 
     def __init__(self, text: str, budget: int):
+        self.text = text
         self.n, self.budget = len(text), budget
         self.top = 1 << (self.n - 1)
         self.full = (1 << self.n) - 1
@@ -76,10 +77,13 @@ class Pattern:
         for i, c in enumerate(text):
             self.at[c] = self.at.get(c, 0) | 1 << i
 
-    def best(self, text: str) -> tuple[int, int] | None:
-        """Least edits with which the pattern occurs in the text, and where that ends; None beyond the budget."""
+    def best(self, text: str, anchored: bool = False) -> tuple[int, int] | None:
+        """Least edits with which the pattern occurs in the text, and where that ends; None beyond the budget.
+
+        An anchored occurrence begins where the text does.
+        """
         vp, vn, score, best = self.full, 0, self.n, None
-        get, top, full = self.at.get, self.top, self.full
+        get, top, full, first = self.at.get, self.top, self.full, int(anchored)
         for j, c in enumerate(text):
             eq = get(c, 0)
             xv = eq | vn
@@ -90,28 +94,32 @@ class Pattern:
                 score += 1
             elif hn & top:
                 score -= 1
-            hp = hp << 1 & full
+            hp = (hp << 1 | first) & full
             vp = (hn << 1 & full) | ~(xv | hp) & full
             vn = hp & xv
             if score <= self.budget and (best is None or score < best[0]):
                 best = (score, j + 1)
         return best
 
+    def begin(self, text: str, end: int) -> int:
+        """Where the shortest of the occurrences that end there with the least edits begins."""
+        found = Pattern(self.text[::-1], self.budget).best(text[max(0, end - self.n - self.budget) : end][::-1], True)
+        return end - found[1]
+
 
 class Matcher:
     """All items of a block and their windows, behind one automaton over their pieces."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float, least_chars: int = 0):
+    def __init__(self, items: list[tuple[int, str]], rate: float):
         import ahocorasick
 
-        self.rate, self.least_chars = rate, least_chars
+        self.rate = rate
         self.texts: list[tuple[int, bool, str]] = []
         self.patterns: dict[int, Pattern] = {}
         places: dict[str, list[tuple[int, int]]] = {}
         for item_id, text in items:
-            short = len(text) < least_chars
-            for whole, w in [(True, text), *((False, w) for w in windows(text) if not short)]:
-                for at, piece in pieces(w, 0 if short else int(len(w) * rate)):
+            for whole, w in [(True, text), *((False, w) for w in windows(text))]:
+                for at, piece in pieces(w, int(len(w) * rate)):
                     places.setdefault(piece, []).append((len(self.texts), at))
                 self.texts.append((item_id, whole, w))
         self.automaton = ahocorasick.Automaton()
@@ -141,7 +149,7 @@ class Matcher:
         found: dict[bool, dict[int, tuple[int, int, int]]] = {True: {}, False: {}}
         for number in sorted(starts, key=lambda n: not self.texts[n][1]):
             item_id, whole, w = self.texts[number]
-            if len(w) < self.least_chars and whole:
+            if whole and int(len(w) * self.rate) == 0:
                 exact = [(0, a, a + len(w)) for a in starts[number] if words_at(text, a, a + len(w))]
                 if exact:
                     found[True][item_id] = min(found[True].get(item_id, exact[0]), *exact)
@@ -153,7 +161,7 @@ class Matcher:
                 best = pattern.best(text[low:high])
                 if best:
                     end = low + best[1]
-                    place = (best[0], max(0, end - pattern.n), end)
+                    place = (best[0], pattern.begin(text, end), end)
                     places[item_id] = min(places.get(item_id, place), place)
         return found[False] | found[True]
 
@@ -170,13 +178,13 @@ def spans(starts: set[int], n: int, budget: int) -> list[list[int]]:
     return out
 
 
-def item_blocks(items: DataFrame, least_chars: int, block_chars: int, short_items: bool) -> Iterator[list[tuple[int, str]]]:
+def item_blocks(items: DataFrame, block_chars: int) -> Iterator[list[tuple[int, str]]]:
     """The normalised items in blocks of about `block_chars`, fetched one partition at a time."""
     block, size = [], 0
     rows = items.select(F.col("item_id").cast("long"), F.col("text").cast("string"))
     for item_id, text in rows.where("item_id IS NOT NULL").orderBy("item_id", "text").toLocalIterator():
         text = normalised(text)
-        if not text or len(text) < least_chars and not short_items:
+        if not text:
             continue
         block.append((item_id, text))
         size += len(text)
@@ -191,26 +199,24 @@ def find_leaks(
     docs: DataFrame,
     items: DataFrame,
     rate: float = RATE,
-    least_chars: int = LEAST_CHARS,
     block_chars: int = BLOCK_CHARS,
-    short_items: bool = False,
 ) -> DataFrame:
     """(doc_id, item_id, edits, start, end): each test item that a document holds, at its best place.
 
     Positions are those of the normalised text. `rate` is the edits allowed per character.
-    Items with fewer than `least_chars` normalised characters say too little for edits: with
-    `short_items` they are found word for word, without it they are not looked for. Null texts are
-    empty, and an item without a letter or digit has nothing to look for. Repeated document rows give repeated results; items that repeat an
-    item_id count as one. Without items or documents there are no rows.
+    Every item is looked for; one that is too short for an edit (16 characters at 6 in a hundred) is
+    found word for word. Null texts are empty, and an item without a letter or digit has nothing to look
+    for. Repeated document rows give repeated results; items that repeat an item_id count as one. Without
+    items or documents there are no rows.
     """
     source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     out = None
-    for block in item_blocks(items, least_chars, block_chars, short_items):
+    for block in item_blocks(items, block_chars):
 
         def run(batches, block=block) -> Iterator:
             import pyarrow as pa
 
-            matcher = Matcher(block, rate, least_chars)
+            matcher = Matcher(block, rate)
             for batch in batches:
                 rows = []
                 for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -228,18 +234,18 @@ def find_leaks(
     return docs.sparkSession.createDataFrame([], LEAKS) if out is None else out
 
 
-def without_leaks(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
+def without_leaks(
+    docs: DataFrame, items: DataFrame, rate: float = RATE, block_chars: int = BLOCK_CHARS
+) -> DataFrame:
     """The documents that hold no test item; all columns. Rows without a doc_id are judged by text too."""
     source = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").cast("string"))
     kind = source.schema["row"].dataType.simpleString()
-    rate, least_chars = options.get("rate", RATE), options.get("least_chars", LEAST_CHARS)
-    block_chars, short_items = options.get("block_chars", BLOCK_CHARS), options.get("short_items", False)
-    for block in item_blocks(items, least_chars, block_chars, short_items):
+    for block in item_blocks(items, block_chars):
 
         def run(batches, block=block) -> Iterator:
             import pyarrow as pa
 
-            matcher = Matcher(block, rate, least_chars)
+            matcher = Matcher(block, rate)
             for batch in batches:
                 clean = [not matcher.leaks(normalised(t)) for t in batch.column(1).to_pylist()]
                 yield batch.filter(pa.array(clean, pa.bool_()))

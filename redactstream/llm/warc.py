@@ -28,6 +28,7 @@ VERSION = b"WARC/1.1\r\n"
 VERSION_LINE = re.compile(rb"WARC/1\.[01]\r\n")
 GZIP = b"\x1f\x8b\x08"
 STEP = 16_384
+UNPACKS_NOT = "gzip member does not unpack"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 MANIFEST = "path string, n_records long, n_bytes long"
@@ -105,8 +106,8 @@ def parse_record(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     return headers, block, end + 4
 
 
-def member_records(data: bytes, at: int) -> tuple[list[tuple[dict[str, str], bytes]], int]:
-    """All records of the gzip member at a position, and the member's end."""
+def unpack(data: bytes, at: int) -> tuple[bytes, int, str]:
+    """What unpacks of the gzip member at a position, where reading ended, and what is wrong with it, if anything."""
     z, out, stop, view = zlib.decompressobj(31), [], at, memoryview(data)
     try:
         # In small steps: what a step leaves unused is copied.
@@ -114,50 +115,110 @@ def member_records(data: bytes, at: int) -> tuple[list[tuple[dict[str, str], byt
             out.append(z.decompress(view[stop : stop + STEP]))
             stop = min(stop + STEP, len(data))
     except zlib.error:
-        raise Damaged("gzip member does not unpack") from None
+        # The step that failed again, byte by byte, for what it gives before the damage.
+        z = zlib.decompressobj(31)
+        for k in range(at, stop, STEP):
+            z.decompress(view[k : k + STEP])
+        try:
+            for k in range(stop, min(stop + STEP, len(data))):
+                out.append(z.decompress(view[k : k + 1]))
+        except zlib.error:
+            pass
+        return b"".join(out), stop, UNPACKS_NOT
     if not z.eof:
-        raise Damaged("gzip member is cut off")
-    plain = b"".join(out)
-    records, p = [], 0
-    while p < len(plain):
-        headers, block, p = parse_record(plain, p)
-        records.append((headers, block))
-    return records, stop - len(z.unused_data)
+        return b"".join(out), stop, "gzip member is cut off"
+    return b"".join(out), stop - len(z.unused_data), ""
+
+
+def packed_size(data: bytes, at: int, size: int) -> int:
+    """How many bytes of the member at a position give its first `size` unpacked bytes."""
+    z, view, stop = zlib.decompressobj(31), memoryview(data), at
+    while size > 0:
+        size -= len(z.decompress(view[stop : stop + STEP], size))
+        stop += STEP - len(z.unconsumed_tail)
+    return min(stop, len(data)) - at
+
+
+def member_items(plain: bytes, digests_only: bool) -> tuple[list[tuple], int]:
+    """("record", headers, block) and ("gap", start, end, reason) of unpacked bytes, and where the last record ends.
+
+    After a failed check the next version line where a record passes its checks is looked for.
+    """
+    items, at, gap, reason, good = [], 0, None, "", 0
+    while at < len(plain):
+        try:
+            headers, block, end = parse_record(plain, at)
+            if digests_only and not headers.get("warc-block-digest", "").startswith("sha256:"):
+                raise Damaged("no digest to trust in a damaged member")
+        except Damaged as problem:
+            if gap is None:
+                gap, reason = at, str(problem)
+            line = VERSION_LINE.search(plain, at + 1)
+            at = line.start() if line else len(plain)
+            continue
+        if gap is not None:
+            items.append(("gap", gap, at, reason))
+            gap = None
+        items.append(("record", headers, block))
+        at = good = end
+    if gap is not None:
+        items.append(("gap", gap, len(plain), reason))
+    return items, good
 
 
 def salvage(data: bytes) -> Iterator[tuple]:
     """("record", headers, block) and ("gap", start, end, reason), in file order.
 
-    A gap runs from the first byte that failed to the next place where a whole member or
-    record passes every check, or to the file's end.
+    A gap runs from the first byte that failed to the next place where a member holds a record that
+    passes every check, or a plain record does, or to the file's end. Where a member unpacks but some of its
+    records fail, the gap is the member, and its reason says which of the unpacked bytes. Of a member
+    that does not unpack to its end, or whose checksum differs, the records with a true block digest are
+    kept; but where it holds one record only, a wrong checksum speaks of that record, which is not kept.
     """
     at, gap, reason = 0, None, ""
     while at < len(data):
+        good = 0
         try:
             if data.startswith(GZIP, at):
-                found, end = member_records(data, at)
+                plain, end, problem = unpack(data, at)
+                found, good = member_items(plain, bool(problem))
+                if not good and (problem or plain) or problem == UNPACKS_NOT and len(found) == 1:
+                    raise Damaged(problem or found[0][3])
             elif data.startswith(b"WARC/1.", at):
                 headers, block, end = parse_record(data, at)
-                found = [(headers, block)]
+                found, problem = [("record", headers, block)], ""
             else:
                 raise Damaged("neither a gzip member nor a version line")
-        except Damaged as problem:
+        except Damaged as failed:
             if gap is None:
-                gap, reason = at, str(problem)
-            member, line = data.find(GZIP, at + 1), data.find(b"WARC/1.", at + 1)
-            places = [p for p in (member, line) if p >= 0]
-            at = min(places) if places else len(data)
+                gap, reason = at, str(failed)
+            at = next_place(data, at + 1)
             continue
         if gap is not None:
             yield "gap", gap, at, reason
             gap = None
-        for headers, block in found:
-            yield "record", headers, block
+        if problem:
+            end = at + packed_size(data, at, good)
+            if found[-1][0] == "gap":  # what follows the last record is the gap in the file
+                found.pop()
+        for item in found:
+            if item[0] == "gap":
+                item = ("gap", at, end, f"unpacked bytes {item[1]} to {item[2]}: {item[3]}")
+            yield item
         at = end
+        if problem:
+            gap, reason = at, problem
+            at = next_place(data, at)
     if gap is not None:
         yield "gap", gap, len(data), reason
 
 
+def next_place(data: bytes, at: int) -> int:
+    """The next place that may begin a member or a record; the end if there is none."""
+    places = [p for p in (data.find(GZIP, at), data.find(b"WARC/1.", at)) if p >= 0]
+    return min(places) if places else len(data)
+
+
 # ------------------------------------------------------------------- as Spark jobs
 def with_first_copies(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
     """page_id, url, payload text and digest, record type and the page a revisit refers to.
@@ -230,11 +291,12 @@ def write_archives(
     return keep(with_first_copies(pages, least).mapInArrow(run, MANIFEST), "warc-manifest")
 
 
-def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
+def read_archives(manifest: DataFrame, folder: str, strict: bool = False) -> DataFrame:
     """Every record of the files that passes its checks, and every quarantined gap.
 
     Record rows have a record_type and no gap; gap rows have gap_start, gap_end (bytes, end
-    exclusive) and gap_reason. `html` is null for revisits, whose payload is elsewhere.
+    exclusive) and gap_reason. `html` is null for revisits, whose payload is elsewhere. With `strict` a
+    file with a gap, or with another number of records than the manifest says, is an error.
     """
 
     def run(frames) -> Iterator:
@@ -249,13 +311,16 @@ def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
             return f.astype({c: "Int64" for c in whole})
 
         for f in frames:
-            for name in f["path"]:
-                rows, size = [], 0
+            for name, n_records in zip(f["path"], f["n_records"]):
+                rows, size, n = [], 0, 0
                 for found in salvage(read_file(store, f"{root}/{name}")):
                     if found[0] == "gap":
+                        if strict:
+                            raise RuntimeError(f"{name}: bytes {found[1]} to {found[2]} are lost: {found[3]}")
                         rows.append((*[None] * 7, name, *found[1:]))
                         continue
                     _, headers, block = found
+                    n += 1
                     kind = headers.get("warc-type")
                     payload = block.split(b"\r\n\r\n", 1)[-1] if kind == "response" else b""
                     digest = headers.get("warc-payload-digest", "").removeprefix("sha256:")
@@ -281,11 +346,14 @@ def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
                     if size > 16_000_000:
                         yield frame(rows)
                         rows, size = [], 0
+                if strict and n != n_records:
+                    raise RuntimeError(f"{name}: {n} records of {n_records}")
                 if rows:
                     yield frame(rows)
 
     tasks = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return manifest.select("path").repartition(tasks, "path").mapInPandas(run, ROWS)
+    n_records = F.col("n_records") if strict else F.lit(None).cast("long").alias("n_records")
+    return manifest.select("path", n_records).repartition(tasks, "path").mapInPandas(run, ROWS)
 
 
 def records(rows: DataFrame) -> DataFrame:
@@ -297,7 +365,7 @@ def gaps(rows: DataFrame) -> DataFrame:
 
 
 def archive_round_trip(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
-    """Write the pages, read the archives back: one row per page."""
+    """Write the pages, read the archives back: one row per page. Damage on the way is an error."""
     folder = fresh_folder(pages.sparkSession, "warc")
-    found = records(read_archives(write_archives(pages, folder, least), folder))
+    found = records(read_archives(write_archives(pages, folder, least), folder, strict=True))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
