@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from redactstream.functions import address as adr
 from redactstream.functions import checksums as chk
+from redactstream.operators.skew import SALTS, hot_values
 
 # Shapes counted per locale and labels whose surfaces are sampled.
 SHAPES = {
@@ -295,14 +296,20 @@ def weak_sentences(
 ) -> DataFrame:
     """Sentences holding a word attested in fewer than `min_corpora` corpora.
 
-    The words of one sentence are deduplicated before the join on the word, so a frequent
-    word meets each sentence once; adaptive execution splits it if it is still hot.
+    The words of one sentence are deduplicated first. Words in more than a thousandth of the rows
+    (at most a thousand of them) get their attestation from a broadcast table: if it suffices, their
+    rows leave there; otherwise they take part in the join under keys of their own that spread them.
     """
     words = sentences.select(key, F.explode(F.array_distinct(tokenize(F.col(text)))).alias("word"))
     strong = attestation(freq, corpus)
-    weak = words.join(strong, "word", "left").where(
-        F.coalesce("corpora", F.lit(0)) < min_corpora
-    )
+    hot = hot_values(words, "word").join(strong, "word", "left")
+    hot = hot.select("word", F.coalesce("corpora", F.lit(0)).alias("known"))
+    left = words.join(F.broadcast(hot), "word", "left").where(F.col("known").isNull() | (F.col("known") < min_corpora))
+    # Words are letters, so no word begins with a zero byte.
+    apart = F.concat(F.lit("\0"), F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("string"))
+    left = left.withColumn("met", F.when(F.col("known").isNull(), F.col("word")).otherwise(apart))
+    joined = left.join(strong.withColumnRenamed("word", "met"), "met", "left")
+    weak = joined.withColumn("corpora", F.coalesce("known", "corpora", F.lit(0))).where(F.col("corpora") < min_corpora)
     tokens = F.sort_array(
         F.collect_set(F.concat_ws("=", "word", F.coalesce("corpora", F.lit(0)).cast("string")))
     )

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from redactstream.functions import spans
 from redactstream.functions.address import CITIES, extend_address
 from redactstream.functions.spans import bridge_spans, find_spans, finding
+from redactstream.operators.skew import fits_broadcast, salted_join
 from redactstream.schema import FINDINGS, MODEL_SPAN, MODEL_THRESHOLD, TIER_MODEL, TIER_RULES
 
 # What each entity type is called towards a zero-shot model.
@@ -345,10 +346,14 @@ def latency_share(decided: DataFrame) -> DataFrame:
 def dictionary_spans(df: DataFrame, key: str, text: str, names: DataFrame) -> DataFrame:
     """Relational dictionary lookup: one row per token that is in `names`.
 
-    `names` has columns word, entity_type, score and may be of any size; adaptive
-    execution broadcasts it only when its measured size allows. Frequent tokens that are
-    no dictionary words leave before the join where the dictionary is broadcast.
+    `names` has columns word, entity_type, score and may be of any size. Its size is measured: a
+    dictionary within the broadcast bounds goes to the tokens, which stay where they are; a larger one
+    meets them in a join on the word, in which frequent tokens are salted.
     """
     words = df.select(key, spans.once(find_spans(F.col(text), r"\p{L}+")).alias("t"))
     tokens = words.select(key, F.explode("t").alias("t")).select(key, F.col("t.m").alias("word"), F.col("t.s").alias("s"), F.col("t.e").alias("e"))
-    return tokens.join(names, "word").select(key, "entity_type", "s", "e", "score", "word")
+    if fits_broadcast(names):
+        found = tokens.join(F.broadcast(names), "word")
+    else:
+        found = salted_join(tokens, names, "word", F.struct(key, "s"))
+    return found.select(key, "entity_type", "s", "e", "score", "word")
