@@ -68,7 +68,7 @@ class Subwords:
         np = self.np
         self.hashes = np.zeros(1, np.uint64)
         # First and second number of the word's key, and its length with the kind.
-        self.keys = np.zeros((1, 3), np.uint64)
+        self.keys = [np.zeros(1, np.uint64)] * 3
         self.sorted = np.zeros(1, np.uint64)
         self.order = np.zeros(1, np.int64)
         self.flat = np.zeros(0, np.uint32)
@@ -103,7 +103,7 @@ class Subwords:
         first = len(self.hashes)
         at = len(self.flat) + np.cumsum(size) - size
         self.hashes = np.concatenate([self.hashes, hashes])
-        self.keys = np.concatenate([self.keys, keys])
+        self.keys = [np.concatenate([old, new]) for old, new in zip(self.keys, keys)]
         self.at, self.size = np.concatenate([self.at, at]), np.concatenate([self.size, size])
         self.flat = np.concatenate([self.flat, ids])
         self.table[(hashes >> np.uint64(64 - TABLE_BITS)).astype(np.int64)] = np.arange(
@@ -170,13 +170,15 @@ class Subwords:
             new, at = np.unique(h[miss], return_index=True)
             at = miss[at]
             whole, words = kind[begin[at]] == 4, self._words(low, begin[at], end[at])
-            keys = np.stack([first[at], second[at], sized[at]], axis=1)
+            keys = np.stack([first[at], second[at], sized[at]])
             for joined, pick in ((True, np.flatnonzero(~whole)), (False, np.flatnonzero(whole))):
-                self._learn(new[pick], keys[pick], [words[i] for i in pick.tolist()], joined)
+                self._learn(new[pick], keys[:, pick], [words[i] for i in pick.tolist()], joined)
             place[miss] = self._find(h[miss])
         known_at, known_size, flat = self.at[place], self.size[place], self.flat
-        keys = self.keys[place]
-        other = np.flatnonzero((keys[:, 0] != first) | (keys[:, 1] != second) | (keys[:, 2] != sized))
+        same = (self.keys[0][place] == first) & (self.keys[2][place] == sized)
+        wide = np.flatnonzero(sized > 17)  # longer than 8 bytes
+        same[wide] &= self.keys[1][place[wide]] == second[wide]
+        other = np.flatnonzero(~same)
         if len(other):
             whole, words = kind[begin[other]] == 4, self._words(low, begin[other], end[other])
             for joined, pick in ((True, np.flatnonzero(~whole)), (False, np.flatnonzero(whole))):

@@ -55,7 +55,9 @@ def word_keys(data, begin, end):
     size = end - begin
     words = np.ndarray(len(data) + 9, "<u8", np.concatenate([data, np.zeros(INLINE, np.uint8)]), strides=(1,))
     first = words[begin] & KEEP[np.minimum(size, 8)]
-    second = words[begin + 8] & KEEP[np.clip(size - 8, 0, 8)]
+    second = np.zeros(len(size), U)
+    wide = np.flatnonzero(size > 8)
+    second[wide] = words[begin[wide] + 8] & KEEP[np.minimum(size[wide] - 8, 8)]
     long = np.flatnonzero(size > INLINE)
     if len(long):
         raw = memoryview(data.tobytes())
@@ -69,8 +71,10 @@ def word_keys(data, begin, end):
 
 def fold(first, second, size, key: tuple[int, int] = (0, 0)):
     """One 64-bit hash of a word key and its length, under a key of two numbers."""
-    h = mix(first ^ U(key[0])) + mix(second ^ U(key[1])) * U(0xA0761D6478BD642F)
-    return mix(h + size.astype(U) * U(0xD6E8FEB86659FD93))
+    h = mix(first ^ U(key[0])) + size.astype(U) * U(0xD6E8FEB86659FD93)
+    wide = np.flatnonzero(second)
+    h[wide] += mix(second[wide] ^ U(key[1])) * U(0xA0761D6478BD642F)
+    return mix(h)
 
 
 SPACE = np.zeros(256, bool)
