@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from redactstream.session import shared_folder
+
+# Bands per cut, and the distinct values of one band that a task may rank.
 EDGES = 64
+BAND_ROWS = 1_000_000
 
 
 def _index(p: float, n: Column, rule: str) -> Column:
@@ -31,39 +36,27 @@ def index_percentiles(
 ) -> DataFrame:
     """Exact index percentiles per group as columns p<percent>, with the count `n`.
 
-    No group is ever collected or sorted whole. Values are counted first (equal values
-    and hot keys shrink map-side), approximate quantiles cut each group into bands, band
-    totals locate the band that holds each rank, and only those bands are ranked.
+    No group is ever collected or sorted whole. Values are counted first (equal values and hot
+    keys shrink map-side). Approximate quantiles cut each group into bands, band totals locate
+    the band that holds each rank, and only the rows of those bands are kept, as a table in the
+    shared folder. While a band has more than BAND_ROWS distinct values it is cut again, so no
+    task ranks more than that. Null values do not count; null is a key like any other. Without keys
+    there is always one row, of nulls if there are no values.
     """
     keys = list(keys)
-    hist = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("c"))
-    cuts = [i / EDGES for i in range(1, EDGES)]
-    edges = hist.groupBy(*keys).agg(
-        F.percentile_approx(value, cuts, 1000).alias("edges"), F.sum("c").alias("n")
-    )
-    banded = _attach(hist, edges, keys).withColumn(
-        "band", F.size(F.filter("edges", lambda x: x < F.col(value)))
-    )
-    totals = banded.groupBy(*keys, "band").agg(F.sum("c").alias("in_band"), F.max("n").alias("n"))
-    upto = Window.partitionBy(*keys).orderBy("band").rowsBetween(Window.unboundedPreceding, -1)
-    # At most EDGES rows per group reach this window.
-    placed = totals.withColumn("before", F.coalesce(F.sum("in_band").over(upto), F.lit(0)))
-    wanted = F.array(
-        *[F.struct(F.lit(_name(p)).alias("p"), _index(p, F.col("n"), rule).alias("i")) for p in percents]
-    )
-    inside = F.filter(
-        wanted,
-        lambda w: (w["i"] >= F.col("before")) & (w["i"] < F.col("before") + F.col("in_band")),
-    )
-    targets = placed.select(*keys, "band", "n", "before", inside.alias("want")).where(
-        F.size("want") > 0
-    )
-    ranked = banded.drop("n", "edges").join(targets, [*keys, "band"])
+    live = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("c"))
+    live, longest = _stored(_cut(live, value, keys, percents, rule))
+    while longest > BAND_ROWS:
+        live, shorter = _stored(_cut(live, value, [*keys, "band"]))
+        if shorter == longest:
+            # One value cannot be cut; a band of several always loses some.
+            break
+        longest = shorter
     running = Window.partitionBy(*keys, "band").orderBy(value)
     last = F.col("before") + F.sum("c").over(
         running.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    found = ranked.withColumn("last", last).select(
+    found = live.withColumn("last", last).select(
         *keys,
         "n",
         value,
@@ -77,18 +70,72 @@ def index_percentiles(
     return found.groupBy(*keys).agg(F.max("n").alias("n"), *picks)
 
 
+def _cut(
+    live: DataFrame,
+    value: str,
+    groups: Sequence[str],
+    percents: Sequence[float] | None = None,
+    rule: str = "round",
+) -> DataFrame:
+    """The rows of `live` (value, count c) in those bands of each group that hold a wanted rank.
+
+    Given `percents`, the groups are whole and get their ranks here; otherwise they are bands with
+    n, before and want, of which the next finer bands are made. `in_band` is a band's row count.
+    """
+    groups = list(groups)
+    whole = percents is not None
+    cuts = [i / EDGES for i in range(1, EDGES)]
+    carried = [] if whole else [F.first(c).alias(c) for c in ("n", "before", "want")]
+    edges = live.groupBy(*groups).agg(
+        F.percentile_approx(value, cuts, 1000).alias("edges"),
+        *([F.sum("c").alias("n")] if whole else carried),
+    )
+    if whole:
+        ranks = [F.struct(F.lit(_name(p)).alias("p"), _index(p, F.col("n"), rule).alias("i")) for p in percents]
+        edges = edges.withColumns({"before": F.lit(0).cast("long"), "want": F.array(*ranks)})
+    banded = _attach(live.select(*groups, value, "c"), edges, groups).withColumn(
+        "finer", F.size(F.filter("edges", lambda x: x < F.col(value)))
+    )
+    totals = banded.groupBy(*groups, "finer").agg(
+        F.sum("c").alias("held"), F.count("*").alias("in_band"), *[F.first(c).alias(c) for c in ("n", "before", "want")]
+    )
+    upto = Window.partitionBy(*groups).orderBy("finer").rowsBetween(Window.unboundedPreceding, -1)
+    # At most EDGES rows per group reach this window.
+    placed = totals.withColumn("before", F.col("before") + F.coalesce(F.sum("held").over(upto), F.lit(0)))
+    inside = F.filter(
+        "want", lambda w: (w["i"] >= F.col("before")) & (w["i"] < F.col("before") + F.col("held"))
+    )
+    targets = placed.select(*groups, "finer", "n", "before", "in_band", inside.alias("want")).where(
+        F.size("want") > 0
+    )
+    kept = _attach(banded.select(*groups, "finer", value, "c"), targets, [*groups, "finer"])
+    band = F.col("finer").cast("long") if whole else F.col("band") * EDGES + F.col("finer")
+    return kept.withColumn("band", band).drop("finer")
+
+
+def _stored(live: DataFrame) -> tuple[DataFrame, int]:
+    """The rows as a table in the shared folder, and the row count of the longest band."""
+    spark = live.sparkSession
+    path = f"{shared_folder(spark)}/bands-{uuid.uuid4().hex}"
+    live.write.parquet(path)
+    rows = spark.read.schema(live.schema).parquet(path)
+    return rows, rows.agg(F.max("in_band")).head()[0] or 0
+
+
 def _name(p: float) -> str:
     return f"p{p:g}".replace(".", "_")
 
 
 def _attach(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Join an aggregate on its keys; without keys it is one row, so one scalar."""
-    if keys:
-        return left.join(right, list(keys))
-    row = right.select(F.struct(*right.columns)).scalar()
-    return left.withColumn("_row", row).select(
-        *left.columns, *[F.col("_row")[c].alias(c) for c in right.columns]
-    )
+    """Join a table with one row per value of the keys; without keys it is one row, so one scalar."""
+    if not keys:
+        row = right.select(F.struct(*right.columns)).scalar()
+        return left.withColumn("_row", row).select(
+            *left.columns, *[F.col("_row")[c].alias(c) for c in right.columns]
+        )
+    theirs = {k: f"_right_{k}" for k in keys}
+    same = [F.col(k).eqNullSafe(F.col(r)) for k, r in theirs.items()]
+    return left.join(right.withColumnsRenamed(theirs), same).drop(*theirs.values())
 
 
 def latency_percentiles(messages: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import functools
 import hashlib
-import re
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,7 +12,7 @@ from pyspark.sql import functions as F
 from redactstream.operators.audit import audit_findings, audit_messages
 from redactstream.operators.model import DictionaryPredictor
 from redactstream.operators.routing import decide
-from redactstream.session import prepare
+from redactstream.session import prepare, shared_folder
 from redactstream.sources.views import raw_messages
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,18 +56,6 @@ SPREAD_SECONDS = 3600
 _STORED: dict[tuple[str, str], str] = {}
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder for cut lineage; a local one only if none is named."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if not re.match(r"local(\[|$)", spark.sparkContext.master):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
 def decided(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The firewall's decision on every derived raw record."""
     raw = raw_messages(spark, sf_dir)

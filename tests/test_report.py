@@ -130,6 +130,39 @@ def test_index_percentiles_are_exact(spark, rule):
         assert got[g].n == n
 
 
+def test_bands_are_cut_until_a_task_can_rank_them(spark, monkeypatch):
+    monkeypatch.setattr(st, "EDGES", 2)
+    monkeypatch.setattr(st, "BAND_ROWS", 10)
+    ranked, stored = [], st._stored
+
+    def watched(live):
+        rows, longest = stored(live)
+        ranked.append((rows, longest))
+        return rows, longest
+
+    monkeypatch.setattr(st, "_stored", watched)
+    values = [("wide", i * 7919 % 1000 / 8) for i in range(1000)] + [(None, float(i % 30)) for i in range(900)]
+    df = spark.createDataFrame(values + [("wide", None), ("one", 5.0)], "g string, v double")
+    got = {r.g: r for r in st.index_percentiles(df, "v", (0, 50, 99), ["g"]).collect()}
+    for g in ("wide", None, "one"):
+        ordered = sorted(v for k, v in [*values, ("one", 5.0)] if k == g)
+        assert got[g].n == len(ordered)
+        for p in (0, 50, 99):
+            assert got[g][f"p{p}"] == ordered[round(p / 100 * (len(ordered) - 1))]
+    rows, longest = ranked[-1]
+    assert len(ranked) > 3 and longest <= 10 < ranked[0][1]
+    assert rows.groupBy("g", "band").count().agg(F.max("count")).head()[0] == longest
+    alone = st.index_percentiles(df.where("g = 'wide'"), "v", (50,)).head()
+    assert (alone.n, alone.p50) == (1000, 62.5)
+
+
+def test_percentiles_of_nothing(spark):
+    none = spark.createDataFrame([("a", None)], "g string, v double")
+    assert st.index_percentiles(none, "v", (50,), ["g"]).collect() == []
+    # A total over no rows is one row, as with any aggregate.
+    assert [tuple(r) for r in st.index_percentiles(none, "v", (50,)).collect()] == [(None, None)]
+
+
 def test_index_percentile_of_an_array(spark):
     df = spark.createDataFrame([([3.0, 1.0, 2.0],), ([],)], "v array<double>")
     assert [r[0] for r in df.select(st.index_percentile(F.col("v"), 50)).collect()] == [2.0, 0.0]
