@@ -13,10 +13,12 @@ from redactstream.functions.spans import (
     SPACE,
     WORD_END,
     WORD_START,
+    built_once,
     dedupe_longest,
     empty,
     find_spans,
     finding,
+    once,
 )
 from redactstream.schema import FINDINGS, FULL_CONFIDENCE, TIER_RULES, UNVALIDATED_CONFIDENCE
 
@@ -120,3 +122,9 @@ def detect_rules(text: Column, field: Column, extra: dict[str, Detector] | None
     ]
     parts += [d(text, field) for d in (extra or {}).values()]
     return F.coalesce(dedupe_longest(F.concat(*parts)), empty(FINDINGS))
+
+
+@built_once
+def rule_column(text: str, field: str, extra: tuple[tuple[str, Detector], ...] = ()) -> Column:
+    """`detect_rules` over the named column, evaluated once and built once."""
+    return once(detect_rules(F.col(text), F.lit(field), dict(extra)))

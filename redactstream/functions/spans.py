@@ -7,10 +7,12 @@ and count code points, as Spark's own string functions do.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.utils import is_remote
 
 from redactstream.schema import FINDING, FINDINGS, HIT, MERGED
 
@@ -23,6 +25,41 @@ WORD_START = rf"(?<![{WORD}])(?=[{WORD}])"
 WORD_END = rf"(?<=[{WORD}])(?![{WORD}])"
 
 
+TREES = 256
+
+
+class built_once:
+    """Keep the expressions that a function makes of column names and other plain values.
+
+    A detection tree has thousands of parts, each a call into the JVM, so building one can take
+    longer than planning the job. A tree names its columns and belongs to no table or session:
+    one serves every job of the process. Functions among the arguments are told apart by identity;
+    with arguments that cannot be hashed the tree is built anew. Results must not be changed.
+    Each function keeps its last TREES trees; they do not travel to workers.
+    """
+
+    def __init__(self, build: Callable) -> None:
+        self.build = build
+        self.kept: dict[tuple, Column | dict[str, Column]] = {}
+        functools.update_wrapper(self, build)
+
+    def __reduce__(self):
+        return built_once, (self.build,)
+
+    def __call__(self, *args):
+        key = (is_remote(), *args)
+        try:
+            tree = self.kept.get(key)
+        except TypeError:
+            return self.build(*args)
+        if tree is None:
+            tree = self.build(*args)
+            if len(self.kept) >= TREES:
+                self.kept.pop(next(iter(self.kept)), None)
+            self.kept[key] = tree
+        return tree
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Bind an expression so that `body` can use it many times at one evaluation."""
     return F.transform(F.array(value), body)[0]
@@ -325,6 +362,12 @@ def redact(text: Column, found: Column) -> Column:
     return redact_merged(text, merge_spans(found))
 
 
+@built_once
+def redacted_column(text: str, found: str) -> Column:
+    """`redact` over the named columns, built once."""
+    return redact(F.col(text), F.col(found))
+
+
 def shield(text: Column, found: Column) -> Column:
     """Blank what rules already claimed, keeping the length, so offsets stay valid."""
     return _rewrite(text, merge_spans(found), lambda x: F.repeat(F.lit(" "), x["e"] - x["s"]))

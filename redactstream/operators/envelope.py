@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from redactstream.functions.identity import canonical_uuid, event_time, normalise_event_ts
 from redactstream.functions.identity import poison_id as poison_uuid
-from redactstream.functions.spans import once, stage
+from redactstream.functions.spans import built_once, once, stage
 from redactstream.schema import FAILURE_DETAIL_CHARS
 
 # Failure classes keep the names downstream reviewers filter on.
@@ -39,11 +39,16 @@ def parse_json_strict(text: Column) -> Column:
     return F.when(second == digest, F.variant_get(both, "$[0]", "variant"))
 
 
-def parse_envelope(raw: DataFrame) -> DataFrame:
-    """Adds the four envelope members as variants; absent members are null."""
+@built_once
+def _decoded() -> dict[str, Column]:
     text = F.col("value").cast("string")
     utf8 = F.coalesce(F.is_valid_utf8(text), F.lit(False))
-    decoded = stage(raw, {"_utf8": utf8, "_json": parse_json_strict(F.when(utf8, text))})
+    return {"_utf8": utf8, "_json": parse_json_strict(F.when(utf8, text))}
+
+
+@built_once
+def _members() -> dict[str, Column]:
+    text = F.col("value").cast("string")
     # Valid JSON is an object exactly when it starts with a brace; asking for its schema
     # instead would walk the whole document.
     is_object = F.coalesce(F.col("_json").isNotNull() & text.rlike(r"\A\s*\{"), F.lit(False))
@@ -51,31 +56,34 @@ def parse_envelope(raw: DataFrame) -> DataFrame:
         f"_{k}": F.when(is_object, F.variant_get(F.col("_json"), f"$.{k}", "variant"))
         for k in _KEYS
     }
-    out = stage(decoded, {"_is_object": is_object, **members})
+    return {"_is_object": is_object, **members}
+
+
+def parse_envelope(raw: DataFrame) -> DataFrame:
+    """Adds the four envelope members as variants; absent members are null."""
+    out = stage(stage(raw, _decoded()), _members())
     return out.withColumn(
         "_members", once(F.try_variant_get(F.col("_payload"), "$", "map<string,variant>"))
     )
 
 
-def classify_failure(parsed: DataFrame) -> DataFrame:
-    """Adds failure_class and failure_detail: the first failing check in a fixed order.
+def _is_text(member: str) -> Column:
+    return F.coalesce(_kind(F.col(f"_{member}")) == "STRING", F.lit(False))
 
-    Details are fixed phrases per check, so no payload content can reach the audit trail.
-    """
-    is_text = {
-        k: F.coalesce(_kind(F.col(f"_{k}")) == "STRING", F.lit(False))
-        for k in ("message_id", "event_ts")
-    }
+
+@built_once
+def _identity() -> dict[str, Column]:
     uuid_text = F.variant_get(F.col("_message_id"), "$", "string")
     ts_text = F.variant_get(F.col("_event_ts"), "$", "string")
+    return {
+        "_uuid": F.when(_is_text("message_id"), canonical_uuid(uuid_text)),
+        "_ts": F.when(_is_text("event_ts"), normalise_event_ts(ts_text)),
+    }
+
+
+@built_once
+def _failure() -> Column:
     version_kind = _kind(F.col("_schema_version"))
-    with_ids = stage(
-        parsed,
-        {
-            "_uuid": F.when(is_text["message_id"], canonical_uuid(uuid_text)),
-            "_ts": F.when(is_text["event_ts"], normalise_event_ts(ts_text)),
-        },
-    )
     checks = [
         (F.col("value").isNull(), NULL_VALUE, "record has no value"),
         (~F.col("_utf8"), NOT_UTF8, "value is not UTF-8"),
@@ -84,9 +92,9 @@ def classify_failure(parsed: DataFrame) -> DataFrame:
         (F.col("_payload").isNull(), MISSING, "payload is missing"),
         (F.col("_message_id").isNull(), MISSING, "message_id is missing"),
         (F.col("_event_ts").isNull(), MISSING, "event_ts is missing"),
-        (~is_text["message_id"], WRONG_TYPE, "message_id is not a string"),
+        (~_is_text("message_id"), WRONG_TYPE, "message_id is not a string"),
         (F.col("_uuid").isNull(), BAD_VALUE, "message_id is not a UUID"),
-        (~is_text["event_ts"], WRONG_TYPE, "event_ts is not a string"),
+        (~_is_text("event_ts"), WRONG_TYPE, "event_ts is not a string"),
         (F.col("_ts").isNull(), BAD_VALUE, "event_ts is not an ISO-8601 time"),
         (
             F.col("_schema_version").isNotNull() & (version_kind != "BIGINT"),
@@ -101,13 +109,20 @@ def classify_failure(parsed: DataFrame) -> DataFrame:
         ),
         (F.col("_members").isNull(), WRONG_TYPE, "payload is not an object"),
     ]
-    first = F.coalesce(
+    return F.coalesce(
         *[
             F.when(bad, F.struct(F.lit(cls).alias("cls"), F.lit(text).alias("detail")))
             for bad, cls, text in checks
         ]
     )
-    return with_ids.withColumn("_failure", once(first)).withColumns(
+
+
+def classify_failure(parsed: DataFrame) -> DataFrame:
+    """Adds failure_class and failure_detail: the first failing check in a fixed order.
+
+    Details are fixed phrases per check, so no payload content can reach the audit trail.
+    """
+    return stage(parsed, _identity()).withColumn("_failure", once(_failure())).withColumns(
         {
             "failure_class": F.col("_failure.cls"),
             "failure_detail": F.left(F.col("_failure.detail"), F.lit(FAILURE_DETAIL_CHARS)),
@@ -115,6 +130,20 @@ def classify_failure(parsed: DataFrame) -> DataFrame:
     )
 
 
+@built_once
+def _envelope() -> dict[str, Column]:
+    failed = F.col("failure_class").isNotNull()
+    version = F.coalesce(F.try_variant_get(F.col("_schema_version"), "$", "int"), F.lit(1))
+    poison = poison_uuid(F.col("topic"), F.col("partition"), F.col("offset"))
+    return {
+        "message_id": F.when(failed, poison).otherwise(F.col("_uuid")),
+        "event_ts_text": F.when(~failed, F.col("_ts")),
+        "event_ts": event_time(F.col("_ts")),
+        "schema_version": F.when(failed, F.lit(1)).otherwise(version),
+        "payload": F.when(~failed, F.col("_members")),
+    }
+
+
 def envelopes(raw: DataFrame, processing_time: Column | None = None) -> DataFrame:
     """Raw records to one envelope row each.
 
@@ -124,18 +153,9 @@ def envelopes(raw: DataFrame, processing_time: Column | None = None) -> DataFram
     checked = classify_failure(parse_envelope(raw))
     failed = F.col("failure_class").isNotNull()
     now = F.current_timestamp() if processing_time is None else processing_time
-    version = F.coalesce(F.try_variant_get(F.col("_schema_version"), "$", "int"), F.lit(1))
-    poison = poison_uuid(F.col("topic"), F.col("partition"), F.col("offset"))
-    built = stage(
-        checked,
-        {
-            "message_id": F.when(failed, poison).otherwise(F.col("_uuid")),
-            "event_ts_text": F.when(~failed, F.col("_ts")),
-            "event_ts": F.when(failed, now).otherwise(event_time(F.col("_ts"))),
-            "schema_version": F.when(failed, F.lit(1)).otherwise(version),
-            "payload": F.when(~failed, F.col("_members")),
-        },
-    )
+    members = _envelope()
+    at = F.when(failed, now).otherwise(members["event_ts"])
+    built = stage(checked, {**members, "event_ts": at})
     return built.select(
         "value",
         "topic",

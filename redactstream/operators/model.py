@@ -210,42 +210,52 @@ def model_to_findings(text: Column, field_name: Column, found: Column, extend: b
     return F.concat(others, bridged)
 
 
+def _parts(free: str) -> Column:
+    return F.coalesce(F.col(free), spans.empty("array<struct<field:string,text:string>>"))
+
+
+@spans.built_once
+def _dictionary_findings(free: str, predictor: DictionaryPredictor) -> Column:
+    found = F.transform(
+        _parts(free),
+        lambda p: model_to_findings(
+            p["text"], p["field"], predictor.spans(p["text"]), predictor.extend
+        ),
+    )
+    return spans.once(F.flatten(found))
+
+
+@spans.built_once
+def _batch_findings(free: str, extend: bool) -> Column:
+    found = F.zip_with(
+        _parts(free),
+        F.col("_model.spans"),
+        lambda p, x: model_to_findings(
+            p["text"], p["field"], F.coalesce(x, spans.empty(f"array<{MODEL_SPAN}>")), extend
+        ),
+    )
+    return spans.once(F.coalesce(F.flatten(found), spans.empty(FINDINGS)))
+
+
 def detect_model(df: DataFrame, free: str, predictor: Predictor) -> DataFrame:
     """Adds model_findings, model_error and model_ms from `free`: array<struct<field,text>>.
 
     The row keeps all its columns, so results need no join back to their text. Rows
     without free text pass through the Arrow stage without a call to the model.
     """
-    parts = F.coalesce(F.col(free), spans.empty("array<struct<field:string,text:string>>"))
     if isinstance(predictor, DictionaryPredictor):
-        found = F.transform(
-            parts,
-            lambda p: model_to_findings(
-                p["text"], p["field"], predictor.spans(p["text"]), predictor.extend
-            ),
-        )
         return df.withColumns(
             {
-                "model_findings": spans.once(F.flatten(found)),
+                "model_findings": _dictionary_findings(free, predictor),
                 "model_error": F.lit(None).cast("string"),
                 "model_ms": F.lit(0.0),
             }
         )
-    texts = F.transform(parts, lambda p: p["text"])
+    texts = F.transform(_parts(free), lambda p: p["text"])
     out = df.withColumn("_model", model_udf(predictor)(texts))
-    found = F.zip_with(
-        parts,
-        F.col("_model.spans"),
-        lambda p, x: model_to_findings(
-            p["text"],
-            p["field"],
-            F.coalesce(x, spans.empty(f"array<{MODEL_SPAN}>")),
-            predictor.extend,
-        ),
-    )
     return out.withColumns(
         {
-            "model_findings": spans.once(F.coalesce(F.flatten(found), spans.empty(FINDINGS))),
+            "model_findings": _batch_findings(free, predictor.extend),
             "model_error": F.col("_model.error"),
             "model_ms": F.col("_model.ms"),
         }

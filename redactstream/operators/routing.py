@@ -149,6 +149,48 @@ def add_model_findings(fields: Column, model: Column) -> Column:
     return F.transform(fields, join)
 
 
+PolicyKey = tuple[tuple[tuple[str, str], ...], tuple[str, ...]]
+
+
+def _key(policy: Policy) -> PolicyKey:
+    return tuple(policy.declared.items()), tuple(policy.free_text)
+
+
+def _policy(key: PolicyKey) -> Policy:
+    return Policy(dict(key[0]), key[1])
+
+
+@spans.built_once
+def _rule_column(policy: PolicyKey, extra: tuple[tuple[str, Detector], ...]) -> Column:
+    return spans.once(rule_fields(payload_entries(F.col("payload")), _policy(policy), dict(extra)))
+
+
+@spans.built_once
+def _undeclared_column(policy: PolicyKey) -> Column:
+    return spans.once(undeclared_parts(F.col("fields"), _policy(policy)))
+
+
+@spans.built_once
+def _custom_column() -> Column:
+    return spans.once(add_rule_findings(F.col("fields"), F.col("custom_findings")))
+
+
+@spans.built_once
+def _free_column(policy: PolicyKey) -> Column:
+    return spans.once(free_text_prefilter(F.col("fields"), _policy(policy)))
+
+
+@spans.built_once
+def _model_column() -> Column:
+    return spans.once(add_model_findings(F.col("fields"), F.col("model_findings")))
+
+
+@spans.built_once
+def _findings_column() -> Column:
+    found = F.flatten(F.transform(F.col("fields"), lambda m: m["findings"]))
+    return spans.once(F.coalesce(found, spans.empty(FINDINGS)))
+
+
 def dispatch_fields(
     df: DataFrame,
     policy: Policy | None = None,
@@ -161,32 +203,21 @@ def dispatch_fields(
     Detection is one projection over the payload; the model, if any, adds one Arrow stage
     that only sees free text. No step shuffles.
     """
-    policy = policy or Policy()
-    out = df.withColumn(
-        "fields", spans.once(rule_fields(payload_entries(F.col("payload")), policy, extra_detectors))
-    )
+    key = _key(policy or Policy())
+    out = df.withColumn("fields", _rule_column(key, tuple((extra_detectors or {}).items())))
     if python_detector is not None:
-        out = out.withColumn("_parts", spans.once(undeclared_parts(F.col("fields"), policy)))
+        out = out.withColumn("_parts", _undeclared_column(key))
         out = detect_python(out, "_parts", python_detector)
-        out = out.withColumn(
-            "fields", spans.once(add_rule_findings(F.col("fields"), F.col("custom_findings")))
-        )
+        out = out.withColumn("fields", _custom_column())
     if predictor is not None:
-        out = out.withColumn("_free", spans.once(free_text_prefilter(F.col("fields"), policy)))
+        out = out.withColumn("_free", _free_column(key))
         out = detect_model(out, "_free", predictor)
-        out = out.withColumn(
-            "fields", spans.once(add_model_findings(F.col("fields"), F.col("model_findings")))
-        )
-    found = F.flatten(F.transform(F.col("fields"), lambda m: m["findings"]))
-    return out.withColumn("findings", spans.once(F.coalesce(found, spans.empty(FINDINGS))))
-
+        out = out.withColumn("fields", _model_column())
+    return out.withColumn("findings", _findings_column())
 
-def reencode_envelope(df: DataFrame) -> DataFrame:
-    """Adds out_value: the redacted envelope as UTF-8 JSON.
-
-    Quarantined rows carry their original bytes, so a reviewer sees what arrived.
-    """
 
+@spans.built_once
+def _out_value() -> Column:
     def member(m: Column) -> Column:
         redacted = spans.redact(m["text"], m["findings"]).cast("variant")
         value = F.when(F.size(m["findings"]) > 0, redacted).otherwise(m["value"])
@@ -201,10 +232,15 @@ def reencode_envelope(df: DataFrame) -> DataFrame:
         )
     )
     original = F.coalesce(F.col("value"), F.lit(b""))
-    return df.withColumn(
-        "out_value",
-        F.when(F.col("action") == "quarantined", original).otherwise(F.encode(body, "UTF-8")),
-    )
+    return F.when(F.col("action") == "quarantined", original).otherwise(F.encode(body, "UTF-8"))
+
+
+def reencode_envelope(df: DataFrame) -> DataFrame:
+    """Adds out_value: the redacted envelope as UTF-8 JSON.
+
+    Quarantined rows carry their original bytes, so a reviewer sees what arrived.
+    """
+    return df.withColumn("out_value", _out_value())
 
 
 def decide(

@@ -4,17 +4,55 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from redactstream.functions import spans
-from redactstream.functions.rules import Detector, detect_rules
+from redactstream.functions.rules import Detector, rule_column
 from redactstream.operators.model import Predictor, detect_model
 from redactstream.operators.pushdown import Conditions, apply_known, apply_rest, conditions
 from redactstream.operators.routing import max_tier, route_action
 from redactstream.schema import FREE_TEXT_FIELDS
 
 
+@spans.built_once
+def _free_text(field: str) -> Column:
+    part = F.struct(
+        F.lit(field).alias("field"),
+        spans.shield(F.col("_text"), F.col("findings")).alias("text"),
+    )
+    worth = F.col("_text").rlike(rf"[^{spans.SPACE}]")
+    return spans.once(F.when(worth, F.array(part)))
+
+
+@spans.built_once
+def _all_findings() -> Column:
+    return spans.combine(F.col("findings"), F.col("model_findings"))
+
+
+@spans.built_once
+def _kept_findings(types: tuple[str, ...] | None) -> Column:
+    return spans.once(spans.by_position(spans.keep_types(F.col("findings"), types)))
+
+
+@spans.built_once
+def _merged() -> Column:
+    return spans.once(spans.merge_spans(F.col("findings")))
+
+
+@spans.built_once
+def _figures() -> dict[str, Column]:
+    return {
+        "redacted": spans.redact_merged(F.col("_text"), F.col("merged")),
+        "masked_chars": spans.masked_chars(F.col("_text"), F.col("merged")),
+        "identifying_chars": spans.identifying_chars(F.col("_text")),
+        "action": route_action(F.col("findings")),
+        "max_tier": max_tier(F.col("findings")),
+        "saturated": (F.length("_text") > 0)
+        & (spans.span_length(F.col("merged")) == F.length("_text")),
+    }
+
+
 def scan(
     df: DataFrame,
     text: str,
@@ -36,32 +74,15 @@ def scan(
     df, late = apply_known(df, conditions(where))
     out = df.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
     out = out.withColumn("truncated", F.lit(False))
-    out = out.withColumn(
-        "findings", spans.once(detect_rules(F.col("_text"), F.lit(field), extra_detectors))
-    )
+    extra = tuple((extra_detectors or {}).items())
+    out = out.withColumn("findings", rule_column("_text", field, extra))
     if predictor is not None:
-        part = F.struct(
-            F.lit(field).alias("field"),
-            spans.shield(F.col("_text"), F.col("findings")).alias("text"),
-        )
-        worth = F.col("_text").rlike(rf"[^{spans.SPACE}]")
-        out = out.withColumn("_free", spans.once(F.when(worth, F.array(part))))
+        out = out.withColumn("_free", _free_text(field))
         out = detect_model(out, "_free", predictor)
-        out = out.withColumn("findings", spans.combine(F.col("findings"), F.col("model_findings")))
-    kept = spans.by_position(spans.keep_types(F.col("findings"), entity_types))
-    out = out.withColumn("findings", spans.once(kept))
-    out = out.withColumn("merged", spans.once(spans.merge_spans(F.col("findings"))))
-    out = out.withColumns(
-        {
-            "redacted": spans.redact_merged(F.col("_text"), F.col("merged")),
-            "masked_chars": spans.masked_chars(F.col("_text"), F.col("merged")),
-            "identifying_chars": spans.identifying_chars(F.col("_text")),
-            "action": route_action(F.col("findings")),
-            "max_tier": max_tier(F.col("findings")),
-            "saturated": (F.length("_text") > 0)
-            & (spans.span_length(F.col("merged")) == F.length("_text")),
-        }
-    )
+        out = out.withColumn("findings", _all_findings())
+    types = None if entity_types is None else tuple(entity_types)
+    out = out.withColumn("findings", _kept_findings(types))
+    out = out.withColumn("merged", _merged()).withColumns(_figures())
     share = F.try_divide(F.col("masked_chars"), F.col("identifying_chars"))
     out = out.withColumn("coverage", F.coalesce(share, F.lit(0.0)))
     out = out.withColumn("scanned", F.col("_text")).drop("_text", "_free", "model_findings")

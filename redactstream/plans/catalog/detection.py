@@ -35,10 +35,10 @@ def _exploded(df, keys, found):
 def redact_documents(spark, sf_dir):
     """Flagship: every document with its identifiers replaced. One map-only pass."""
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    found = docs.withColumn("found", spans.once(rules.detect_rules(F.col("text"), F.lit("text"))))
+    found = docs.withColumn("found", rules.rule_column("text", "text"))
     return found.select(
         "doc_id",
-        spans.redact(F.col("text"), F.col("found")).alias("redacted"),
+        spans.redacted_column("text", "found").alias("redacted"),
         F.size("found").alias("n_findings"),
     )
 

@@ -9,6 +9,7 @@ from conftest import SF
 from pyspark.sql import functions as F
 
 from redactstream.functions import rules, spans
+from redactstream.schema import FINDINGS
 
 CASES = [
     ("national id 42101-7654321-9 noted", ["CNIC"]),
@@ -110,3 +111,38 @@ def test_a_text_full_of_hits(spark):
     assert len(row.f) == 6000
     assert [text[f.span_start : f.span_end] for f in row.f[:2]] == ["u0@example.com", "03010000000"]
     assert row.f[-1].span_end == len(text)
+
+
+def test_detection_trees_are_built_once(spark):
+    from redactstream.functions.spans import built_once
+    from redactstream.operators.scan import scan
+
+    assert rules.rule_column("t", "memo") is rules.rule_column("t", "memo")
+    assert rules.rule_column("t", "memo") is not rules.rule_column("u", "memo")
+
+    calls = []
+
+    @built_once
+    def tree(name, kinds):
+        calls.append(name)
+        return F.col(name).isin(list(kinds))
+
+    assert tree("a", ("x",)) is tree("a", ("x",)) and calls == ["a"]
+    # What cannot be hashed may change between calls, so it is never kept.
+    tree("a", ["x"]), tree("a", ["x"])
+    assert calls == ["a", "a", "a"]
+
+    # One tree serves tables and sessions that have nothing in common.
+    for session in (spark, spark.newSession()):
+        for column in ("t", "other"):
+            df = session.createDataFrame([("write to a@b.co",), (None,)], f"{column} string")
+            got = [len(r.findings) for r in scan(df, column).collect()]
+            assert got == [1, 0]
+
+    def card(text, field):
+        return spans.empty(FINDINGS)
+
+    # A detector of its own name and identity gives a tree of its own.
+    extra = (("card", card),)
+    assert rules.rule_column("t", "memo", extra) is rules.rule_column("t", "memo", extra)
+    assert rules.rule_column("t", "memo", extra) is not rules.rule_column("t", "memo")
