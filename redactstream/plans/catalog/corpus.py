@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from redactstream.functions import address as adr
@@ -9,7 +11,7 @@ from redactstream.operators import corpus as co
 from redactstream.plans.catalog.detection import _BIC, _ROUTING
 from redactstream.plans.catalog.evaluation import GOLD_SQL
 from redactstream.plans.catalog.oracle import with_txn
-from redactstream.plans.catalog.registry import query, r6
+from redactstream.plans.catalog.registry import query, r6, shared_folder
 from redactstream.sources import files
 from redactstream.sources.views import table, txn
 
@@ -430,3 +432,40 @@ _WIDTHS = ("account_holder", "cnic", "iban_from", "phone", "memo")
 def widest_column(spark, sf_dir):
     """Characters per column over all rows, the measure behind the default."""
     return files.width_table(txn(spark, sf_dir).select(*_WIDTHS))
+
+
+# The memos as an uploaded file: padded names, quotes, and line breaks inside values.
+_UPLOADED = "CASE WHEN k % 7 = 0 THEN concat('  \"', memo, '\",', chr(10), channel, ' ') ELSE memo END"
+
+
+def _upload(spark, sf_dir) -> str:
+    path = f"{shared_folder(spark)}/redactstream-upload-{uuid.uuid4().hex}.csv"
+    rows = txn(spark, sf_dir).selectExpr("k AS ` k`", f"{_UPLOADED} AS `memo `")
+    keep = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    rows.write.options(header=True, escape='"', **keep).csv(path)
+    return path
+
+
+@query(
+    "src_rows_file",
+    with_txn(f", f AS (SELECT trim({_UPLOADED}) AS text FROM txn) SELECT text, count(*) AS n FROM f WHERE text <> '' GROUP BY 1"),
+)
+def src_rows_file(spark, sf_dir):
+    """Rows read back from the chosen column of a CSV: trimmed, blank ones gone."""
+    rows = files.read_rows(spark, _upload(spark, sf_dir), "memo")
+    return rows.groupBy("text").agg(F.count("*").alias("n"))
+
+
+@query(
+    "csv_columns",
+    with_txn(
+        f"""
+        , f AS (SELECT k, {_UPLOADED} AS memo FROM txn)
+        SELECT 0 AS ordinal, 'k' AS "column", sum(length(k::varchar))::bigint AS chars FROM f
+        UNION ALL SELECT 1, 'memo', sum(length(memo))::bigint FROM f
+        """
+    ),
+)
+def csv_columns(spark, sf_dir):
+    """Names of a file's columns without their padding, with the characters in each."""
+    return files.width_table(files.read_csv(spark, _upload(spark, sf_dir)))

@@ -72,6 +72,17 @@ def audit_findings(spark, sf_dir):
     return findings.drop("offset", "partition")
 
 
+@query(
+    "window_label",
+    with_window("SELECT '1996-01-01 00:00:00Z until 1998-07-01 00:00:00Z' AS label, count(*) AS n FROM w"),
+)
+def window_label(spark, sf_dir):
+    """A window as it is written on a command line, its label and the records inside."""
+    since, until = rp.parse_ts("1996-01-01T00:00:00Z"), rp.parse_ts("1998-07-01")
+    inside = rp.report_window(trail(spark, sf_dir)[0], since, until)
+    return inside.agg(F.count("*").alias("n")).select(rp.window_label(since, until).alias("label"), "n")
+
+
 @query("report_window", with_window("SELECT message_id, action FROM w"))
 def report_window(spark, sf_dir):
     return _window(spark, sf_dir)[0].select("message_id", "action")
