@@ -93,6 +93,9 @@ def _cut(
     if whole:
         ranks = [F.struct(F.lit(_name(p)).alias("p"), _index(p, F.col("n"), rule).alias("i")) for p in percents]
         edges = edges.withColumns({"before": F.lit(0).cast("long"), "want": F.array(*ranks)})
+    # Approximate quantiles depend on the order in which partial sketches arrive. Totals and kept rows
+    # must be cut by the same edges, so these are made once and stored.
+    edges = _table(edges)
     banded = _attach(live.select(*groups, value, "c"), edges, groups).withColumn(
         "finer", F.size(F.filter("edges", lambda x: x < F.col(value)))
     )
@@ -115,13 +118,17 @@ def _cut(
 
 def _stored(live: DataFrame) -> tuple[DataFrame, int]:
     """The rows as a table in the shared folder, and the row count of the longest band."""
-    spark = live.sparkSession
-    path = f"{shared_folder(spark)}/bands-{uuid.uuid4().hex}"
-    live.write.parquet(path)
-    rows = spark.read.schema(live.schema).parquet(path)
+    rows = _table(live)
     return rows, rows.agg(F.max("in_band")).head()[0] or 0
 
 
+def _table(df: DataFrame) -> DataFrame:
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/bands-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def _name(p: float) -> str:
     return f"p{p:g}".replace(".", "_")
 
