@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pytest
+from conftest import SF
 from pyspark.sql import functions as F
 
 from redactstream.operators import corpus, model, skew
@@ -75,3 +76,17 @@ def test_rows_of_a_hot_value_are_dealt_over_the_salts(spark, monkeypatch):
     joined = skew.salted_join(left, right, "w", F.col("id"))
     assert joined.count() == 5000 and joined.select("id").distinct().count() == 5000
     assert joined.columns == ["w", "id", "x"]
+
+
+def test_transactions_are_dealt_evenly_whatever_the_row_groups(spark, workdir):
+    from redactstream.sources.views import txn
+
+    spark.read.parquet(f"{SF}/orders.parquet").coalesce(1).write.parquet(f"{workdir}/orders.parquet")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    try:
+        sizes = [r[1] for r in txn(spark, workdir).groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    # Many splits, one row group: all rows were in one task.
+    assert len(sizes) >= 8 and max(sizes) < sum(sizes) / 4
