@@ -166,3 +166,30 @@ def test_normalise_event_ts(spark):
     df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(TIMES)], "i int, t string")
     got = [r[0] for r in df.orderBy("i").select(normalise_event_ts(F.col("t"))).collect()]
     assert got == [e for _, e in TIMES]
+
+
+def test_a_text_is_parsed_once(spark):
+    from redactstream.operators.envelope import parse_envelope
+
+    raw = spark.createDataFrame([], "value binary, topic string, partition int, offset bigint")
+    plan = parse_envelope(raw)._jdf.queryExecution().optimizedPlan().toString()
+    # Columns kept in their place share no common parts: each mention was another pass.
+    assert plan.count("parseJson") == 1 and plan.count("md5(") == 1
+
+
+def test_event_times_that_are_cast_equal_those_by_arithmetic(spark):
+    from redactstream.functions.identity import _event_time, event_time
+
+    texts = [
+        "2024-02-29T23:59:59+05:00", "2024-01-01 00:00:00.250-17:59", "0001-01-01x00:00:00.123456+00:00",
+        "9999-12-31T23:59:59-00:30", "2024-01-01T10:05:09+18:00", "2024-01-01T10:05", "2024-01-01", "1996-07-01€12:00:00+23:59",
+    ]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    both = rows.select(F.unix_micros(event_time(F.col("t"))), F.unix_micros(_event_time(F.col("t")))).collect()
+    assert all(a is not None and a == b for a, b in both)
+
+
+def test_generated_methods_stay_small_enough_to_be_compiled(spark):
+    from redactstream.session import prepare
+
+    assert int(prepare(spark).conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000

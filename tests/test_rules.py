@@ -146,3 +146,38 @@ def test_detection_trees_are_built_once(spark):
     extra = (("card", card),)
     assert rules.rule_column("t", "memo", extra) is rules.rule_column("t", "memo", extra)
     assert rules.rule_column("t", "memo", extra) is not rules.rule_column("t", "memo")
+
+
+def test_a_lone_match_is_placed_where_the_pattern_found_it(spark):
+    # The same word stands before the match where the pattern refuses it, or around it twice.
+    texts = ["ab12 12", "12", "x 12 y", "é€ 12", "1212 12", "12ab 12 ab12", "", "no"]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    pattern = rf"{spans.WORD_START}12{spans.WORD_END}"
+    found = rows.select("text", spans.find_spans(F.col("text"), pattern).alias("h")).collect()
+    for text, hits in found:
+        expected = [(m.start(), m.end(), m.group()) for m in re.finditer(r"\b12\b", text)]
+        assert [tuple(h) for h in hits] == expected, text
+
+
+def test_ibans_of_the_common_shape_and_others_agree(spark):
+    from redactstream.functions import checksums as ck
+
+    ibans = [f"PK{c:02d}{bank}{n:016d}" for bank in ("RDKT", "LM9A", "ZZZZ") for n in (0, 7, 10**16 - 1) for c in range(100)]
+    rows = spark.createDataFrame([(i,) for i in [*ibans, "GB82WEST12345698765432", "PK", "PK٣٦SCBL0000001123456702"]], "iban string")
+    for iban, ok in rows.select("iban", ck.iban_mod97_ok(F.col("iban"))).collect():
+        turned = "".join(str(int(c, 36)) for c in iban[4:] + iban[:4] if re.match("[A-Z0-9]", c))
+        assert ok == (bool(turned) and int(turned) % 97 == 1), iban
+
+
+def test_mobile_numbers_in_one_look_equal_trunk_and_subscriber(spark):
+    texts = [
+        "03011234567", "+92 301 1234567", "0092(301)1234567", "+92-0301-123-4567", "0092 0301 123 456",
+        "00 9230 1123 4567", "092 301 1234", "0 92 3011 234567", "+92(3011)234 5678", "0٣011234567", "+92 211 2345678",
+    ]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = rows.select("text", F.regexp_extract("text", rules.PHONE_PK, 0).alias("m")).withColumn(
+        "mobile", F.col("m").rlike(rules.PHONE_MOBILE)
+    )
+    for text, m, mobile in got.collect():
+        rest = re.sub(r"\A(?:0092|92|0)", "", re.sub(r"[^\d]", "", m))
+        assert mobile == bool(re.search(r"\A3\d{9}\Z", rest)), text
