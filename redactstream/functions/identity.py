@@ -25,24 +25,35 @@ def hyphenate(hex32: Column) -> Column:
     return F.concat_ws("-", *[F.substring(hex32, start, n) for start, n in cuts])
 
 
+def uuid_digits(text: Column) -> Column:
+    """What is left of any accepted spelling of a UUID without its marks."""
+    bare = F.replace(F.replace(text, F.lit("urn:")), F.lit("uuid:"))
+    return F.lower(F.replace(F.trim(bare, F.lit("{}")), F.lit("-")))
+
+
+def uuid_of(digits: Column) -> Column:
+    return F.when(digits.rlike(r"\A[0-9a-f]{32}\z"), hyphenate(digits))
+
+
 def canonical_uuid(text: Column) -> Column:
     """Hyphenated lowercase form of any accepted spelling of a UUID, else null."""
-    bare = F.replace(F.replace(text, F.lit("urn:")), F.lit("uuid:"))
-    bare = F.lower(F.replace(F.trim(bare, F.lit("{}")), F.lit("-")))
-    return let(bare, lambda b: F.when(b.rlike(r"\A[0-9a-f]{32}\z"), hyphenate(b)))
+    return let(uuid_digits(text), uuid_of)
 
 
-def normalise_event_ts(text: Column) -> Column:
-    """A trailing Z becomes +00:00; anything that is not a valid ISO time is null."""
-    zoned = F.when(
+def zoned(text: Column) -> Column:
+    return F.when(
         text.endswith("Z"), F.concat(F.left(text, F.length(text) - 1), F.lit("+00:00"))
     ).otherwise(text)
 
-    def checked(t: Column) -> Column:
-        day = F.left(t, F.lit(10))
-        return F.when(t.rlike(ISO_SHAPE) & day.try_cast("date").isNotNull() & (day >= "0001"), t)
 
-    return let(zoned, checked)
+def valid_time(t: Column) -> Column:
+    day = F.left(t, F.lit(10))
+    return F.when(t.rlike(ISO_SHAPE) & day.try_cast("date").isNotNull() & (day >= "0001"), t)
+
+
+def normalise_event_ts(text: Column) -> Column:
+    """A trailing Z becomes +00:00; anything that is not a valid ISO time is null."""
+    return let(zoned(text), valid_time)
 
 
 def event_time(normalised: Column) -> Column:

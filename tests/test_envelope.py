@@ -193,3 +193,19 @@ def test_generated_methods_stay_small_enough_to_be_compiled(spark):
     from redactstream.session import prepare
 
     assert int(prepare(spark).conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
+
+
+def test_envelopes_are_read_by_expressions_that_compile(spark):
+    from redactstream.operators.envelope import classify_failure, parse_envelope
+
+    raw = spark.createDataFrame([], RAW_SCHEMA)
+    plan = classify_failure(parse_envelope(raw))._jdf.queryExecution().optimizedPlan().toString()
+    # Spark interprets a higher-order function with all that it holds.
+    assert "lambda" not in plan
+
+
+def test_content_after_the_value_and_odd_payloads(spark):
+    good = body()
+    values = [good + b"\n", b" \t" + good, good + b",1", good + b"],[1", b"1],[2", b"1,2", good[:-1], body(payload={"a": None, "b": {"c": 1}})]
+    got = [r.failure_class for r in outcomes(spark, values)]
+    assert got == [None, None, *["JSONDecodeError"] * 5, None]
